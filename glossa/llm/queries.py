@@ -87,8 +87,84 @@ FROM cut
 """
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.quality_rules import quality_verdicts
+
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(lang, chr(1) || 'null') AS lang, coalesce(source, chr(1) || 'null') AS source, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT doc_id, lang, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+    [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
+  FROM docs
+), words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
+windows AS (
+  SELECT doc_id, i, word, CASE WHEN lead(word, 2) OVER p IS NULL THEN NULL ELSE word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p END AS g
+  FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), twice AS (SELECT doc_id, i, g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 AS t FROM windows),
+hits AS (
+  SELECT doc_id, t OR coalesce(lag(t, 1) OVER p, false) OR coalesce(lag(t, 2) OVER p, false) AS hit
+  FROM twice WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), repeats AS (SELECT doc_id, count(*) FILTER (hit) AS n FROM hits GROUP BY doc_id),
+m AS (
+  SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(repeats.n, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines
+  FROM split LEFT JOIN repeats USING (doc_id)
+), v AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END AS symbols,
+    CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS dup_lines,
+    CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS repeats,
+    CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END AS word_length
+  FROM m
+), long AS (
+  UNPIVOT (SELECT lang, source, symbols, dup_lines, repeats, word_length FROM v WHERE NOT base_failed)
+  ON symbols, dup_lines, repeats, word_length INTO NAME measure VALUE value
+), sketch AS (
+  SELECT lang, source, measure, (value >> greatest(0, length(bin(value)) - 6)) << greatest(0, length(bin(value)) - 6) AS bucket, count(*) AS n
+  FROM long GROUP BY ALL
+), levels AS (
+  SELECT lang, source, measure, bucket, n FROM sketch
+  UNION ALL SELECT lang, 'ALL', measure, bucket, sum(n) FROM sketch GROUP BY ALL
+  UNION ALL SELECT 'ALL', 'ALL', measure, bucket, sum(n) FROM sketch GROUP BY ALL
+), run AS (
+  SELECT *, sum(n) OVER g AS total, sum(n) OVER (g ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto
+  FROM levels WINDOW g AS (PARTITION BY lang, source, measure)
+), q AS (
+  SELECT lang, source, measure, max(total) AS total,
+    min(bucket) FILTER (upto >= greatest(1, (5 * total + 99) // 100)) AS q5, min(bucket) FILTER (upto >= greatest(1, (25 * total + 99) // 100)) AS q25,
+    min(bucket) FILTER (upto >= greatest(1, (50 * total + 99) // 100)) AS q50, min(bucket) FILTER (upto >= greatest(1, (75 * total + 99) // 100)) AS q75
+  FROM run GROUP BY ALL
+), picked AS (
+  SELECT a.lang, a.source, measure,
+    CASE WHEN a.total >= 100 THEN 'source' WHEN b.total >= 100 THEN 'lang' ELSE 'all' END AS level,
+    CASE WHEN a.total >= 100 THEN a WHEN b.total >= 100 THEN b ELSE c END AS s
+  FROM q a JOIN q b USING (measure) JOIN q c USING (measure)
+  WHERE a.source <> 'ALL' AND b.lang = a.lang AND b.source = 'ALL' AND c.lang = 'ALL'
+), limits AS (
+  SELECT lang, source, min(level) AS level,
+    max(s.q50 + greatest(8 * (s.q50 - s.q5), 150)) FILTER (measure = 'symbols') AS hs,
+    max(s.q50 + greatest(8 * (s.q50 - s.q5), 450)) FILTER (measure = 'dup_lines') AS hd,
+    max(s.q50 + greatest(8 * (s.q50 - s.q5), 450)) FILTER (measure = 'repeats') AS hr,
+    max(s.q50 + greatest(8 * (s.q75 - s.q25), 2500)) FILTER (measure = 'word_length') AS hw,
+    max(s.q50 - greatest(8 * (s.q75 - s.q25), 2500)) FILTER (measure = 'word_length') AS lw
+  FROM picked GROUP BY lang, source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
+  NOT base_failed AND coalesce(symbols <= hs AND dup_lines <= hd AND repeats <= hr AND word_length BETWEEN lw AND hw, true) AS kept,
+  level AS threshold_level
+FROM v LEFT JOIN limits USING (lang, source)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality_rules": op5_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
     "op9_sharding": op9_sharding,
 }
-ORACLES: dict[str, str] = {"op6_chat_formatting": OP6_SQL, "op9_sharding": OP9_SQL}
+ORACLES: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op9_sharding": OP9_SQL}
