@@ -162,9 +162,16 @@ FROM v LEFT JOIN limits USING (lang, source)
 """
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), n_words=4, max_bits=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
     "op9_sharding": op9_sharding,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op9_sharding": OP9_SQL}
