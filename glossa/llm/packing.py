@@ -44,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             start = pa.array([n * capacity for n in piece], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), start, length, pa.array(parts, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
 
-    schema = docs.select("doc_id").schema.add("piece", "int").add("start", "long").add("length", "long").add("ids", "binary")
+    schema = docs.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
