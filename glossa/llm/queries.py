@@ -56,6 +56,12 @@ FROM rows GROUP BY conv_id
 """
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.syncmers import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.sharding import shard_by_bytes
 
@@ -206,6 +212,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op9_sharding": op9_sharding,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
