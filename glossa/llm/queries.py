@@ -62,6 +62,19 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again, with digests of both."""
+    from glossa.llm.unigram import encode_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = encode_documents(docs.withColumn("text_sha256", F.sha2(F.encode("text", "UTF-8"), 256)), _tokenizer("piece_bpe_32k.model"), ["doc_id", "text_sha256"])
+    decoded = F.sha2(F.encode("decoded", "UTF-8"), 256)
+    return out.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
+        F.length("decoded").cast("long").alias("n_chars"), decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("round_trip"),
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.sharding import shard_by_bytes
 
@@ -213,6 +226,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
