@@ -11,6 +11,9 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain, compress, repeat
+from operator import is_
+from struct import pack
 
 import numpy as np
 
@@ -23,19 +26,34 @@ _PIECES = re.compile(" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 _BYTE_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n{_LETTERS}0-9]+|[ \n]+(?![^ \n])|[ \n]")
 _WORD_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^ \n{_LETTERS}0-9]+")
+_MARKS = ".,;:!?)*$#%&|"
 _REMEMBERED = 400_000
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as its Latin-1 character if that shows, else as the next from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
+
+
+_ALPHABET = _byte_alphabet()
+
+
 class Memo:
     """A mapping of bounded size in two generations: what is asked for stays, the rest goes in time."""
 
     def __init__(self, limit: int):
         self.limit, self.young, self.old = limit, {}, {}
 
-    def ensure(self, keys: set[str], make) -> dict[str, bytes]:
-        """The mapping with all ``keys`` in it; ``make`` gives the values of a list of new ones."""
+    def turn(self) -> dict[str, bytes]:
+        """The young generation, a new one if it is full."""
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
+        return self.young
+
+    def ensure(self, keys: set[str], make) -> dict[str, bytes]:
+        """The young generation with all ``keys`` in it; ``make`` gives the values of a list of new ones."""
         new = keys.difference(self.young)
         if self.old and new:
             found = {k: self.old[k] for k in new if k in self.old}
@@ -96,19 +114,35 @@ class Encoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)]
         return out
 
+    def _parts(self, piece: str) -> tuple[str, ...] | list[str]:
+        """What the vocabulary merges inside a piece; mostly a word and the marks after it."""
+        word = piece.rstrip(_MARKS)
+        if word.isalpha():  # so it is no contraction, and has no blank of its own
+            shown = word if self.split is self._words else " " + word
+            return (shown, piece[len(word) :]) if len(word) < len(piece) else (shown,)
+        return self.parts.findall(self._restored(piece))
+
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that are split and normalised already: the library's merging alone."""
+        merge = self.tokenizer.model.tokenize
+        return [pack(f"<{len(t)}I", *[x.id for x in t]) for t in (merge(p.encode().decode("latin-1").translate(_ALPHABET)) for p in parts)]
+
     def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        parts = [self.parts.findall(self._restored(p)) for p in pieces]
-        known = self.tokens.ensure(set().union(*parts), self._ids)
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        parts = list(map(self._parts, pieces))
+        self.tokens.turn()
+        known = self.tokens.ensure(set(chain.from_iterable(parts)), self._merged).__getitem__
+        return [b"".join(map(known, p)) for p in parts]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         pieces = [[] if not x else self.split(x) if _PLAIN.fullmatch(x) else None for x in texts]
-        get = self.pieces.young.get
-        found = [list(map(get, p or ())) for p in pieces]
-        new = {p[i] for p, f in zip(pieces, found, strict=True) if None in f for i, x in enumerate(f) if x is None}
-        known = self.pieces.ensure(new, self._of_pieces).get
+        get = self.pieces.turn().get
+        new: set[str] = set()
+        for p in pieces:
+            if p:
+                new.update(compress(p, map(is_, map(get, p), repeat(None))))
+        known = self.pieces.ensure(new, self._of_pieces).__getitem__
         whole = iter(self._ids([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        return [next(whole) if p is None else b"".join([x or known(k) for x, k in zip(f, p)] if None in f else f) for p, f in zip(pieces, found, strict=True)]
+        return [next(whole) if p is None else b"".join(map(known, p)) for p in pieces]
 
 
 @lru_cache(maxsize=4)

@@ -267,6 +267,7 @@ class Unigram:
             return self.best_paths([t.replace(" ", MARK).encode() for t in shown])
         self.memo = self.memo or Memo(400_000)
         keys = [self._keys(t) if t else [] for t in shown]
+        self.memo.turn()
         known = self.memo.ensure(set().union(*keys), self._search)
         return [b"".join(map(known.__getitem__, k)) for k in keys]
 
