@@ -64,6 +64,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named by number, and the new name of each: no name can clash with added ones."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def renamed_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(new).alias(old) for old, new in names.items()])
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; nulls are empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

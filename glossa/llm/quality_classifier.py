@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossa.llm.common import id_residue, materialize, slices, text_bytes
+from glossa.llm.common import id_residue, materialize, numbered, renamed_back, text_bytes
 
 STATISTICS = [
     "log_chars", "log_words", "mean_word", "spread_word", "short_words", "long_words", "distinct_words", "log_lines", "dup_lines", "upper", "digits", "white", "symbols", "stops",
@@ -53,16 +53,16 @@ def statistics_of(text: bytes) -> list[float]:
 
 
 def statistics(docs: DataFrame, text_col: str = "text", into: str = "_statistics") -> DataFrame:
-    """``docs`` with an array<double> of the ``STATISTICS`` of the whole text; null texts are empty."""
-    names = docs.columns
-    at = names.index(text_col)
+    """``docs`` with an array<double> of the ``STATISTICS`` of the whole text; null texts are empty.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            got = np.array([statistics_of(x) for x in text_bytes(batch.column(at))], np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(got)], [*names, into])
+    Only the text goes to Python. The function is marked so that no plan evaluates it twice for a row.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def measured(text: pa.Array) -> pa.Array:
+        return _lists(np.array([statistics_of(x) for x in text_bytes(text)], np.float64).reshape(-1, len(STATISTICS)))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.DoubleType()))]))
+    return docs.withColumn(into, measured.asNondeterministic()(F.col(text_col)))
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -205,5 +205,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
     """
     measured = materialize(statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
     model = fit(labelled(measured, labels))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    return scored(statistics(packed), model).filter(F.col("score") >= least).select("_row.*")
+
+    @F.arrow_udf(T.DoubleType())
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(model.score(np.array([statistics_of(x) for x in text_bytes(text)], np.float64).reshape(-1, len(STATISTICS))))
+
+    rows, names = numbered(docs)
+    scored_rows = rows.withColumn("_score", score.asNondeterministic()(F.col(names["text"])))
+    return renamed_back(scored_rows.filter(F.col("_score") >= least), names)

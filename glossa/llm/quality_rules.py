@@ -12,15 +12,13 @@ All arithmetic is on integers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossa.llm.common import materialize, slices, text_bytes
+from glossa.llm.common import materialize, numbered, renamed_back, text_bytes
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _NOT_COUNTED = _SPACE + bytes(range(0x80, 0xC0))  # white space, and the later bytes of a code point
@@ -67,18 +65,18 @@ def measures_of(text: bytes) -> tuple[int, ...]:
 
 
 def measure(docs: DataFrame, text_col: str = "text", into: str = "_measures") -> DataFrame:
-    """``docs`` with a struct column of ``FIELDS`` (long) over the whole text; null texts have no words."""
-    names = docs.columns
-    at = names.index(text_col)
+    """``docs`` with a struct column of ``FIELDS`` (long) over the whole text; null texts have no words.
+
+    Only the text goes to Python. The function is marked so that no plan evaluates it twice for a row.
+    """
     kind = T.StructType([T.StructField(f, T.LongType()) for f in FIELDS])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            got = np.array([measures_of(x) for x in text_bytes(batch.column(at))], np.int64).reshape(-1, len(FIELDS))
-            struct = pa.StructArray.from_arrays([pa.array(got[:, i]) for i in range(len(FIELDS))], FIELDS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*names, into])
+    @F.arrow_udf(kind)
+    def measured(text: pa.Array) -> pa.Array:
+        got = np.array([measures_of(x) for x in text_bytes(text)], np.int64).reshape(-1, len(FIELDS))
+        return pa.StructArray.from_arrays([pa.array(got[:, i]) for i in range(len(FIELDS))], FIELDS)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, kind)]))
+    return docs.withColumn(into, measured.asNondeterministic()(F.col(text_col)))
 
 
 def base_failed(m: str = "_measures") -> Column:
@@ -173,6 +171,6 @@ def keep_good(docs: DataFrame, min_group: int = 100) -> DataFrame:
     """
     narrow = docs.select("text", "lang", "source")
     limits = materialize(thresholds(materialize(sketches(measure(narrow)), "sketch"), min_group), "limits")
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "text", "lang", "source")
-    return judge(measure(packed), limits).filter("kept").select("_row.*")
+    rows, names = numbered(docs)
+    judged = judge(measure(rows, names["text"]), limits, names["lang"], names["source"])
+    return renamed_back(judged.filter("kept"), names)

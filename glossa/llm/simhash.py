@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import materialize, slices, text_bytes
+from glossa.llm.common import materialize, numbered, renamed_back, slices, text_bytes
 from glossa.llm.components import components
 
 SEGMENTS, CHAIN = 8, 5
@@ -248,8 +248,10 @@ def keep_first(docs: DataFrame, n_words: int = 4, max_bits: int = 4) -> DataFram
 
     Columns are those of ``docs``; of wholly equal rows one stays.
     """
-    keyed = docs.withColumn("_row_key", row_key(docs)) if "_row_key" not in docs.columns else docs
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_row_key").alias("row"))
-    fps = materialize(fingerprints(keyed.withColumn("_rank", rank), ["_rank"], n_words=n_words), "fingerprints")
+    rows, names = numbered(docs)
+    keyed = rows.withColumn("_row_key", row_key(rows))
+    doc_id = F.col(names["doc_id"])
+    rank = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("_row_key").alias("row"))
+    fps = materialize(fingerprints(keyed.withColumn("_rank", rank), ["_rank"], names["text"], n_words), "fingerprints")
     keep = materialize(fingerprint_components(fps, "_rank", max_bits).select(F.col("component.row").alias("_row_key")).distinct(), "kept")
-    return keyed.join(keep, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
+    return renamed_back(keyed.join(keep, "_row_key", "left_semi").dropDuplicates(["_row_key"]), names)
