@@ -5,6 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glossa.operators import readability as R
+from glossa.plans import oracles as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.col("lang") == "en")
+
+
+def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle: str | None = None) -> None:
+    QUERIES[name] = query
+    if oracle:
+        ORACLES[name] = oracle
+
+
+register("g_readability_documents", lambda s, d: R.document_grades(english(s, d)), O.document_grades())
+register("g_readability_raw", lambda s, d: R.document_grades(english(s, d), normalize=False), O.document_grades(False))
+register("g_readability_sentences", lambda s, d: R.sentence_grades(english(s, d)), O.sentence_grades())
+register(
+    "r25_grade_findings",
+    lambda s, d: R.grade_findings(english(s, d)),
+    f"""SELECT doc_id, sentence_index, 'LING-GRADE-001' AS rule_id, 'sentence_load' AS dimension, flesch_kincaid AS observed,
+CASE WHEN flesch_kincaid / 8.0 >= 2 THEN 'high' WHEN flesch_kincaid / 8.0 >= 1.35 THEN 'medium' ELSE 'low' END AS severity,
+least(15.0, {O.round2('(flesch_kincaid - 8.0) * 1.5')}) AS penalty FROM ({O.sentence_grades()}) WHERE words >= 5 AND flesch_kincaid > 8.0""",
+)
+register(
+    "g_readability_by_source",
+    lambda s, d: R.grades_by_source(english(s, d)),
+    f"""SELECT lang, source, count(*) AS documents, CAST(sum(words) AS BIGINT) AS words, CAST(sum(sentences) AS BIGINT) AS sentences,
+min(flesch_kincaid) AS least_grade, max(flesch_kincaid) AS most_grade
+FROM ({O.document_grades()}) JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, source)""",
+)
