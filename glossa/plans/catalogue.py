@@ -41,3 +41,101 @@ register(
 min(flesch_kincaid) AS least_grade, max(flesch_kincaid) AS most_grade
 FROM ({O.document_grades()}) JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, source)""",
 )
+
+# --- findings and scores over documents -------------------------------------------------------------
+
+from glossa.functions import text as X  # noqa: E402
+from glossa.operators import findings as D  # noqa: E402
+from glossa.operators import meaning as M  # noqa: E402
+from glossa.operators import scoring as S  # noqa: E402
+from glossa.sources import profiles as P  # noqa: E402
+
+USUAL = P.load_profile()
+#: Phrases that the generated documents have, to exercise the matcher on data.
+DATA_PHRASES = {"placing": ["in the", "of the"], "being": ["it be", "that be"]}
+
+
+def _sentences(s: SparkSession, d: str) -> DataFrame:
+    return X.sentences(english(s, d), ["doc_id"])
+
+
+def _one(n: int, rules: Callable, oracle: list[str], name: str) -> None:
+    register(name, lambda s, d: rules(_sentences(s, d), USUAL)[n], oracle[n])
+
+
+for _n, _name in enumerate(["r1_long_sentences", "r4_punctuation_depth", "r5_nominalizations", "r18_inline_lists"]):
+    _one(_n, D.sentence_rules, O.sentence_rules(USUAL), _name)
+for _n, _name in enumerate(["r7_compound_depth", "r15_compounds"]):
+    _one(_n, D.compound_rules, O.compound_rules(USUAL), _name)
+register("st16_hyphen_terms", lambda s, d: D.hyphen_terms(_sentences(s, d)), O.hyphen_terms())
+register("r16_undefined_acronyms", lambda s, d: D.acronym_rule(english(s, d), _sentences(s, d), USUAL), O.acronym_rule(USUAL))
+register("r17_long_paragraphs", lambda s, d: D.paragraph_rule(english(s, d), USUAL), O.paragraph_rule(USUAL))
+register("r20_repeated_words", lambda s, d: D.repeated_words_rule(_sentences(s, d), USUAL), O.repeated_words_rule(USUAL))
+register("r21_filler_phrases", lambda s, d: D.filler_rule(_sentences(s, d), DATA_PHRASES), O.filler_rule(DATA_PHRASES))
+register("r26_phrase_matches", lambda s, d: D.phrase_counts(_sentences(s, d), DATA_PHRASES), O.phrase_counts(DATA_PHRASES))
+register("r24_qualifiers", lambda s, d: D.qualifier_rule(_sentences(s, d), USUAL), O.qualifier_rule(USUAL))
+register("r29_findings", lambda s, d: D.findings(english(s, d), USUAL), O.findings(USUAL))
+for _profile in P.WEIGHTS:
+    _p = P.load_profile(_profile)
+
+    def _scored(s: SparkSession, d: str, p: P.Profile = _p) -> DataFrame:
+        return S.scores(S.components(english(s, d), D.findings(english(s, d), p), p), p)
+
+    register(f"a3_score_{_profile.replace('-', '_')}", _scored, O.scores(_p))
+register("a1_score_components", lambda s, d: S.components(english(s, d), D.findings(english(s, d), USUAL), USUAL), O.components(USUAL))
+register(
+    "c16_ranked_findings",
+    lambda s, d: S.ranked(D.findings(english(s, d), USUAL)),
+    f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, sentence_index, rule_id, observed, penalty) AS rank
+FROM ({O.findings(USUAL)})""",
+)
+register(
+    "a2_score_floor",
+    lambda s, d: s.range(2401).select((F.col("id") / 2).alias("deducted"), S.raw_score(F.col("id") / 2).alias("raw_score")),
+    f"SELECT i / 2 AS deducted, {O.round2('100 * pow(2, -(i / 2) / 50)')} AS raw_score FROM range(2401) t(i)",
+)
+
+
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    rows = s.read.parquet(f"{d}/conversations.parquet")
+    kind = F.when(F.col("role") == "assistant", "list_item").otherwise("prose")
+    return rows.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("block_index"), kind.alias("kind"), "text")
+
+
+register(
+    "r23_duplicated_framing",
+    lambda s, d: D.duplicated_framing(_blocks(s, d), P.Profile("wide", "1.0.0", USUAL.weights, USUAL.bands, USUAL.thresholds | {"max_duplicate_framing_words": 300, "min_duplicate_framing_shared_terms": 2, "min_duplicate_framing_similarity": 0.1})),
+    O.duplicated_framing(
+        "SELECT conv_id AS doc_id, turn AS block_index, CASE WHEN role = 'assistant' THEN 'list_item' ELSE 'prose' END AS kind, text FROM conversations",
+        P.Profile("wide", "1.0.0", USUAL.weights, USUAL.bands, USUAL.thresholds | {"max_duplicate_framing_words": 300, "min_duplicate_framing_shared_terms": 2, "min_duplicate_framing_similarity": 0.1}),
+    ),
+)
+
+
+# --- places, digests, protected elements ------------------------------------------------------------
+
+
+def _places(s: SparkSession, d: str) -> DataFrame:
+    at = F.instr("text", " the ")
+    line, column = X.line_column(F.col("text"), at)
+    return english(s, d).filter(at > 0).select("doc_id", at.cast("int").alias("start"), line.cast("int").alias("line"), column.cast("int").alias("column"))
+
+
+register(
+    "st13_line_column",
+    _places,
+    f"""SELECT doc_id, CAST(pos AS INTEGER) AS start, CAST(length(p) - length(replace(p, chr(10), '')) + 1 AS INTEGER) AS line,
+CAST(length(string_split(p, chr(10))[-1]) + 1 AS INTEGER) AS "column" FROM (SELECT doc_id, pos, substring(text, 1, pos) AS p FROM (SELECT *, instr(text, ' the ') AS pos FROM {O.EN}) WHERE pos > 0)""",
+)
+register(
+    "io1_source_digest",
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), F.length("text").alias("length")),
+    "SELECT doc_id, sha256(text) AS sha256, CAST(length(text) AS INTEGER) AS length FROM documents",
+)
+register(
+    "m1_protected_items",
+    lambda s, d: M.regex_items(s.read.parquet(f"{d}/pages.parquet").withColumn("html", F.concat_ws(" ", "url", "html")), "html", "page_id"),
+    "SELECT page_id, kind, CASE WHEN kind = 'identifier' THEN upper(item) ELSE item END AS item, count(*) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, unnest(regexp_extract_all(url || ' ' || html, '{p}')) AS item FROM pages" for k, p in M.PATTERNS.items())
+    + ") GROUP BY ALL",
+)

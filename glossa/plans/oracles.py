@@ -69,3 +69,146 @@ def sentence_grades() -> str:
 def document_grades(normalize: bool = True) -> str:
     sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in COUNTS.split(", "))
     return f"SELECT doc_id, sentences, {COUNTS}, {GRADES} FROM (SELECT doc_id, count(*) AS sentences, {sums} FROM ({sentence_counts(normalize)}) GROUP BY doc_id)"
+
+# --- findings -------------------------------------------------------------------------------------
+
+
+def severity(observed: str, threshold: str) -> str:
+    ratio = f"(CASE WHEN {threshold} = 0 THEN {observed} ELSE {observed} / {threshold} END)"
+    return f"CASE WHEN {ratio} >= 2 THEN 'high' WHEN {ratio} >= 1.35 THEN 'medium' ELSE 'low' END"
+
+
+def rule(source: str, name: str, dimension: str, observed: str, threshold: float, penalty: str, level: str | None = None) -> str:
+    return f"""SELECT doc_id, CAST(sentence_index AS INTEGER) AS sentence_index, 'LING-{name}-001' AS rule_id, '{dimension}' AS dimension, observed, threshold,
+{level or severity('observed', 'threshold')} AS severity, CAST({penalty} AS DOUBLE) AS penalty
+FROM (SELECT *, CAST({observed} AS DOUBLE) AS observed, CAST({threshold} AS DOUBLE) AS threshold FROM ({source})) WHERE observed > threshold"""
+
+
+def capped(most: float, each: float) -> str:
+    return f"least({most}, (observed - threshold) * {each})"
+
+
+def _chars(characters: str, column: str = "sentence") -> str:
+    return f"(length({column}) - length(translate({column}, '{characters}', '')))"
+
+
+def quoted(items) -> str:
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
+
+
+def lowered_words(column: str = "sentence") -> str:
+    return f"list_transform(regexp_extract_all({column}, '{WORD}'), lambda w: lower(w))"
+
+
+def sentence_rules(profile) -> list[str]:
+    from glossa.sources import profiles as P
+
+    t, s = profile.thresholds, sentences()
+    w = f"SELECT *, {lowered_words()} AS w FROM ({s})"
+    depth = f"2 * ({_chars('()[]')} // 2) + 2 * {_chars(';')} + {_chars('—–')} + greatest(0, {_chars(',')} - 2)"
+    pattern = "^[a-z]{3,}(?:" + "|".join(P.NOMINAL_SUFFIXES) + ")$"
+    nominal = f"len(list_filter(w, lambda x: regexp_matches(CASE WHEN length(x) > 4 THEN regexp_replace(x, 's$', '') ELSE x END, '{pattern}')))"
+    items = r"CASE WHEN contains(sentence, ',') THEN len(list_filter(regexp_split_to_array(sentence, ',| and | or '), lambda x: regexp_matches(x, '[\p{L}\p{N}]'))) ELSE 0 END"
+    return [
+        rule(w, "SENTENCE", "sentence_load", "len(w)", t["max_sentence_words"], capped(30, 1.5)),
+        rule(s, "PUNCTUATION", "sentence_load", depth, t["max_punctuation_depth"], capped(14, 2)),
+        rule(w, "NOMINALIZATION", "morphology", nominal, t["max_nominalizations_per_sentence"], capped(25, 5)),
+        rule(s, "LIST", "structure", items, t["max_inline_list_items"], capped(12, 2)),
+    ]
+
+
+def hyphen_terms() -> str:
+    terms = rf"SELECT doc_id, sentence_index, unnest(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}]+(?:-[\p{{L}}\p{{N}}]+)+')) AS term FROM ({sentences()})"
+    return f"SELECT *, CAST(len(string_split(term, '-')) AS INTEGER) AS parts FROM ({terms})"
+
+
+def compound_rules(profile) -> list[str]:
+    from glossa.sources import profiles as P
+
+    terms = f"SELECT * FROM ({hyphen_terms()}) WHERE term NOT IN ({quoted(P.ALLOWED_COMPOUNDS)})"
+    most = profile.thresholds["max_compound_parts"]
+    plain = f"SELECT * FROM ({terms}) WHERE parts <= {most} AND (parts >= 3 OR string_split(term, '-')[-1] IN ({quoted(P.COMPOUND_MODIFIERS)}))"
+    return [
+        rule(terms, "COMPOUND-DEPTH", "morphology", "parts", most, capped(10, 3)),
+        rule(plain, "COMPOUND", "lexical_clarity", "parts", 0, "CASE WHEN parts >= 3 THEN 6 ELSE 4 END", "CASE WHEN parts >= 3 THEN 'medium' ELSE 'low' END"),
+    ]
+
+
+def acronym_rule(profile) -> str:
+    from glossa.sources import profiles as P
+
+    defined = rf"SELECT doc_id, unnest(regexp_extract_all(text, '\(([A-Z]{{2,8}})s?\)', 1)) AS acronym FROM {EN}"
+    used = rf"SELECT doc_id, sentence_index, unnest(regexp_extract_all(sentence, '\b([A-Z]{{2,8}})s?\b', 1)) AS acronym FROM ({sentences()})"
+    counted = f"""SELECT doc_id, sentence_index, count(*) AS n FROM ({used}) u WHERE acronym NOT IN ({quoted(P.KNOWN_ACRONYMS)})
+AND NOT EXISTS (SELECT 1 FROM ({defined}) d WHERE d.doc_id = u.doc_id AND d.acronym = u.acronym) GROUP BY doc_id, sentence_index"""
+    return rule(counted, "ABBREVIATION", "lexical_clarity", "n", profile.thresholds["max_undefined_acronyms_per_sentence"], capped(12, 3))
+
+
+def paragraph_rule(profile) -> str:
+    parts = rf"SELECT doc_id, unnest(p) AS paragraph, generate_subscripts(p, 1) - 1 AS sentence_index FROM (SELECT doc_id, regexp_split_to_array(text, '\n[ \t]*\n') AS p FROM {EN})"
+    return rule(parts, "STRUCTURE", "structure", f"len(regexp_extract_all(paragraph, '{WORD}'))", profile.thresholds["max_paragraph_words"], capped(20, 0.75))
+
+
+def repeated_words_rule(profile) -> str:
+    from glossa.sources import profiles as P
+
+    counted = rf"""SELECT doc_id, word, count(*) AS n, min(sentence_index) AS sentence_index
+FROM (SELECT doc_id, sentence_index, unnest({lowered_words()}) AS word FROM ({sentences()}))
+WHERE length(word) >= 7 AND word NOT IN ({quoted(P.STOP_LEMMAS)}) AND regexp_matches(word, '^\p{{L}}+$') GROUP BY doc_id, word"""
+    return rule(counted, "REDUNDANCY", "redundancy", "n", profile.thresholds["max_repeated_content_word"], capped(10, 2), "'low'")
+
+
+def phrase_counts(phrases: dict) -> str:
+    lemma = "CASE WHEN w IN ('am', 'is', 'are', 'was', 'were', 'been', 'being') THEN 'be' WHEN w IN ('has', 'had', 'having') THEN 'have' ELSE w END"
+    line = f"' ' || coalesce(array_to_string(list_transform({lowered_words()}, lambda w: {lemma}), '  '), '') || ' '"
+    table = ", ".join(f"('{k}', '{p}')" for k, ps in sorted(phrases.items()) for p in ps)
+    spaced = "' ' || replace(phrase, ' ', '  ') || ' '"
+    return f"""SELECT * FROM (SELECT doc_id, CAST(sentence_index AS INTEGER) AS sentence_index, label, phrase,
+  CAST((length(line) - length(replace(line, {spaced}, ''))) // length({spaced}) AS INTEGER) AS n
+  FROM (SELECT doc_id, sentence_index, {line} AS line FROM ({sentences()})), (VALUES {table}) t(label, phrase)) WHERE n > 0"""
+
+
+def filler_rule(phrases: dict) -> str:
+    return rule(f"SELECT doc_id, sentence_index, unnest(range(n)) AS k FROM ({phrase_counts(phrases)})", "FILLER", "redundancy", "1", 0, "4", "'medium'")
+
+
+def qualifier_rule(profile) -> str:
+    from glossa.sources import profiles as P
+
+    w = f"SELECT doc_id, sentence_index, list_transform({lowered_words()}, lambda w: w IN ({quoted(P.QUALIFIERS)})) AS q FROM ({sentences()})"
+    n = f"SELECT *, len(list_filter(q, lambda x: x)) AS n, len(list_filter(range(1, len(q)), lambda i: q[i] AND q[i + 1])) > 0 AS s FROM ({w})"
+    pair = rule(f"SELECT * FROM ({n}) WHERE s", "QUALIFIER", "redundancy", "n", 1, "5", "'medium'")
+    many = rule(f"SELECT * FROM ({n}) WHERE NOT s AND n >= 2", "QUALIFIER", "redundancy", "n", profile.thresholds["max_qualifiers_per_sentence"], capped(10, 3))
+    return f"{pair} UNION ALL {many}"
+
+
+def findings(profile) -> str:
+    from glossa.sources import profiles as P
+
+    return " UNION ALL ".join([*sentence_rules(profile), *compound_rules(profile), acronym_rule(profile), paragraph_rule(profile), repeated_words_rule(profile), filler_rule(P.FILLER_PHRASES), qualifier_rule(profile)])
+
+
+def components(profile) -> str:
+    weights = ", ".join(f"('{d}', {w})" for d, w in profile.weights.items())
+    raw = round2("100 * pow(2, -deducted_points / 50)")
+    return f"""SELECT *, {round2('raw_score * weight / 100')} AS weighted_contribution FROM (SELECT *, {raw} AS raw_score FROM (
+SELECT d.doc_id, dimension, weight, coalesce(points, 0.0)::DOUBLE AS deducted_points FROM (SELECT doc_id, dimension, weight FROM {EN}, (VALUES {weights}) t(dimension, weight)) d
+LEFT JOIN (SELECT doc_id, dimension, {round2('sum(penalty)')} AS points FROM ({findings(profile)}) GROUP BY ALL) p USING (doc_id, dimension)))"""
+
+
+def scores(profile) -> str:
+    bands = " ".join(f"WHEN value BETWEEN {lo} AND {hi} THEN '{b}'" for b, lo, hi in profile.bands)
+    return f"SELECT *, CASE {bands} END AS band FROM (SELECT doc_id, {round2('sum(weighted_contribution)')} AS value FROM ({components(profile)}) GROUP BY doc_id)"
+
+
+def duplicated_framing(blocks: str, profile) -> str:
+    from glossa.sources import profiles as P
+
+    t = profile.thresholds
+    terms = f"list_distinct(list_filter({lowered_words('text')}, lambda w: length(w) >= 4 AND w NOT IN ({quoted(P.STOP_LEMMAS)})))"
+    return f"""WITH listed AS (SELECT *, sum(CASE WHEN kind = 'list_item' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_index) AS items FROM ({blocks})),
+short AS (SELECT doc_id, block_index, items, {terms} AS terms FROM listed WHERE kind = 'prose' AND len(regexp_extract_all(text, '{WORD}')) <= {t['max_duplicate_framing_words']}),
+pairs AS (SELECT b.doc_id, b.block_index, a.block_index AS earlier, len(list_intersect(a.terms, b.terms)) AS shared, least(len(a.terms), len(b.terms)) AS smaller
+FROM short a JOIN short b ON a.doc_id = b.doc_id AND a.block_index < b.block_index AND b.block_index - a.block_index <= {t['max_duplicate_framing_block_distance']} AND b.items > a.items)
+SELECT doc_id, block_index, min(earlier) AS earlier, CAST(arg_min(shared, earlier) AS INTEGER) AS shared FROM pairs
+WHERE shared >= {t['min_duplicate_framing_shared_terms']} AND shared / smaller >= {t['min_duplicate_framing_similarity']} GROUP BY ALL"""
