@@ -139,3 +139,22 @@ register(
     + " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, unnest(regexp_extract_all(url || ' ' || html, '{p}')) AS item FROM pages" for k, p in M.PATTERNS.items())
     + ") GROUP BY ALL",
 )
+
+# --- inline rows and streams ------------------------------------------------------------------------
+
+from glossa.plans import inline  # noqa: E402
+from glossa.streaming import feed  # noqa: E402
+
+for _name, (_query, _oracle) in inline.QUERIES.items():
+    register(_name, _query, _oracle)
+register(
+    "s1_hourly_windows",
+    lambda s, d: feed.window_averages(s.read.parquet(f"{d}/events.parquet")),
+    "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
+)
+register(
+    "s2_user_sessions",
+    lambda s, d: feed.sessions(s.read.parquet(f"{d}/events.parquet")),
+    """SELECT min(ts) AS session_start, user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (
+SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE > ts THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k""",
+)
