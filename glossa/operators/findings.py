@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,34 +19,59 @@ def _count(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def _rows(df: DataFrame, rule: str, dimension: str, observed: Column, threshold: float, penalty: Column, severity: Column | None = None) -> DataFrame:
-    rows = df.withColumn("observed", observed.cast("double")).withColumn("threshold", F.lit(float(threshold))).filter(F.col("observed") > F.col("threshold"))
-    level = severity if severity is not None else X.severity(F.col("observed"), F.col("threshold"))
-    return rows.select(
-        "doc_id", F.col("sentence_index").cast("int").alias("sentence_index"), F.lit(f"LING-{rule}-001").alias("rule_id"), F.lit(dimension).alias("dimension"),
-        "observed", "threshold", level.alias("severity"), penalty.cast("double").alias("penalty"),
-    )
+def _capped(most: float, each: float) -> Callable[[Column], Column]:
+    return lambda over: F.least(F.lit(most), over * each)
 
 
-def _capped(most: float, each: float) -> Column:
-    return F.least(F.lit(most), (F.col("observed") - F.col("threshold")) * each)
+def _fixed(points: float) -> Callable[[Column], Column]:
+    return lambda over: F.lit(points)
+
+
+def _finding(rule: str, dimension: str, observed: Column, threshold: float, penalty: Callable[[Column], Column], severity: str | None = None) -> Column:
+    """A finding, or null where the observed number is not over the threshold."""
+    o, t = observed.cast("double"), F.lit(float(threshold))
+    level = X.severity(o, t) if severity is None else F.lit(severity)
+    parts = [F.lit(f"LING-{rule}-001").alias("rule_id"), F.lit(dimension).alias("dimension"), o.alias("observed"), t.alias("threshold"), level.alias("severity"), penalty(o - t).cast("double").alias("penalty")]
+    return F.when(o > t, F.struct(*parts))
+
+
+def _rows(df: DataFrame, *found: Column) -> DataFrame:
+    """One row a finding from columns of findings or of arrays of them."""
+    one = F.explode(F.array_compact(F.concat(*[f for f in found])))
+    return df.select("doc_id", F.col("sentence_index").cast("int").alias("sentence_index"), one.alias("f")).select("doc_id", "sentence_index", "f.*")
 
 
 def punctuation_depth(s: Column) -> Column:
     return 2 * F.floor(_count(s, "()[]") / 2) + 2 * _count(s, ";") + _count(s, "—–") + F.greatest(F.lit(0), _count(s, ",") - 2)
 
 
-def sentence_rules(sent: DataFrame, profile: P.Profile) -> list[DataFrame]:
-    """Rules that need one sentence alone: no shuffle."""
-    t, s = profile.thresholds, F.col("sentence")
-    words = sent.withColumn("_w", F.transform(X.words(s), F.lower))
-    long = _rows(words, "SENTENCE", "sentence_load", F.size("_w"), t["max_sentence_words"], _capped(30, 1.5))
-    depth = _rows(sent, "PUNCTUATION", "sentence_load", punctuation_depth(s), t["max_punctuation_depth"], _capped(14, 2))
-    nominal = F.size(F.filter("_w", lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, "s$", "")).otherwise(w).rlike("^[a-z]{3,}(?:" + "|".join(P.NOMINAL_SUFFIXES) + ")$")))
-    nouns = _rows(words, "NOMINALIZATION", "morphology", nominal, t["max_nominalizations_per_sentence"], _capped(25, 5))
-    items = F.when(s.contains(","), F.size(F.filter(F.split(s, r",| and | or "), lambda x: x.rlike(r"[\p{L}\p{N}]")))).otherwise(0)
-    lists = _rows(sent, "LIST", "structure", items, t["max_inline_list_items"], _capped(12, 2))
-    return [long, depth, nouns, lists]
+def measured(sent: DataFrame) -> DataFrame:
+    """Sentences with the numbers and lists that the rules of one sentence look at."""
+    s = F.col("sentence")
+    rows = sent.withColumn("_w", F.transform(X.words(s), F.lower))
+    singular = lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, "s$", "")).otherwise(w)
+    flags = F.transform("_w", lambda w: w.isin(P.QUALIFIERS))
+    return rows.withColumns(
+        {
+            "_depth": punctuation_depth(s),
+            "_nominal": F.size(F.filter("_w", lambda w: singular(w).rlike("^[a-z]{3,}(?:" + "|".join(P.NOMINAL_SUFFIXES) + ")$"))),
+            "_items": F.when(s.contains(","), F.size(F.filter(F.split(s, r",| and | or "), lambda x: x.rlike(r"[\p{L}\p{N}]")))).otherwise(0),
+            "_terms": F.filter(F.regexp_extract_all(F.lower(s), F.lit(HYPHENATED), F.lit(0)), lambda x: ~x.isin(P.ALLOWED_COMPOUNDS)),
+            "_q": flags,
+            "_line": _lemma_line(F.col("_w")),
+        }
+    )
+
+
+def sentence_rules(profile: P.Profile) -> dict[str, Column]:
+    """Rules on the numbers of ``measured``; each a finding."""
+    t = profile.thresholds
+    return {
+        "SENTENCE": F.array(_finding("SENTENCE", "sentence_load", F.size("_w"), t["max_sentence_words"], _capped(30, 1.5))),
+        "PUNCTUATION": F.array(_finding("PUNCTUATION", "sentence_load", F.col("_depth"), t["max_punctuation_depth"], _capped(14, 2))),
+        "NOMINALIZATION": F.array(_finding("NOMINALIZATION", "morphology", F.col("_nominal"), t["max_nominalizations_per_sentence"], _capped(25, 5))),
+        "LIST": F.array(_finding("LIST", "structure", F.col("_items"), t["max_inline_list_items"], _capped(12, 2))),
+    }
 
 
 def hyphen_terms(sent: DataFrame) -> DataFrame:
@@ -54,15 +80,20 @@ def hyphen_terms(sent: DataFrame) -> DataFrame:
     return sent.select("doc_id", F.col("sentence_index").cast("long").alias("sentence_index"), terms.alias("term")).withColumn("parts", F.size(F.split("term", "-")))
 
 
-def compound_rules(sent: DataFrame, profile: P.Profile) -> list[DataFrame]:
+def compound_rules(profile: P.Profile) -> dict[str, Column]:
     """Deep compounds, and shorter ones of three parts or with a modifier at the end."""
-    terms = hyphen_terms(sent).filter(~F.col("term").isin(P.ALLOWED_COMPOUNDS))
     most = profile.thresholds["max_compound_parts"]
-    deep = _rows(terms, "COMPOUND-DEPTH", "morphology", F.col("parts"), most, _capped(10, 3))
-    modified = F.substring_index("term", "-", -1).isin(P.COMPOUND_MODIFIERS)
-    plain = terms.filter((F.col("parts") <= most) & ((F.col("parts") >= 3) | modified))
-    shallow = _rows(plain, "COMPOUND", "lexical_clarity", F.col("parts"), 0, F.when(F.col("parts") >= 3, 6).otherwise(4), F.when(F.col("parts") >= 3, "medium").otherwise("low"))
-    return [deep, shallow]
+
+    def shallow(x: Column) -> Column:
+        parts = F.size(F.split(x, "-"))
+        three = _finding("COMPOUND", "lexical_clarity", parts, 0, _fixed(6), "medium")
+        two = _finding("COMPOUND", "lexical_clarity", parts, 0, _fixed(4), "low")
+        return F.when((parts >= 3) & (parts <= most), three).when((parts == 2) & F.substring_index(x, "-", -1).isin(P.COMPOUND_MODIFIERS), two)
+
+    return {
+        "COMPOUND-DEPTH": F.transform("_terms", lambda x: _finding("COMPOUND-DEPTH", "morphology", F.size(F.split(x, "-")), most, _capped(10, 3))),
+        "COMPOUND": F.transform("_terms", shallow),
+    }
 
 
 def acronyms(df: DataFrame, text: str) -> DataFrame:
@@ -76,13 +107,14 @@ def acronym_rule(docs: DataFrame, sent: DataFrame, profile: P.Profile) -> DataFr
     defined = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\(([A-Z]{2,8})s?\)"), F.lit(1))).alias("acronym")).distinct()
     used = acronyms(sent, "sentence").filter(~F.col("acronym").isin(P.KNOWN_ACRONYMS)).join(defined, ["doc_id", "acronym"], "left_anti")
     counted = used.groupBy("doc_id", "sentence_index").agg(F.count("*").alias("n"))
-    return _rows(counted, "ABBREVIATION", "lexical_clarity", F.col("n"), profile.thresholds["max_undefined_acronyms_per_sentence"], _capped(12, 3))
+    return _rows(counted, F.array(_finding("ABBREVIATION", "lexical_clarity", F.col("n"), profile.thresholds["max_undefined_acronyms_per_sentence"], _capped(12, 3))))
 
 
 def paragraph_rule(docs: DataFrame, profile: P.Profile) -> DataFrame:
     """Paragraphs (parted by blank lines) with too many words; sentence_index is the paragraph's number."""
     parts = docs.select("doc_id", F.posexplode(F.split("text", r"\n[ \t]*\n")).alias("sentence_index", "paragraph"))
-    return _rows(parts, "STRUCTURE", "structure", F.size(X.words(F.col("paragraph"))), profile.thresholds["max_paragraph_words"], _capped(20, 0.75))
+    counted = parts.withColumn("n", F.size(X.words(F.col("paragraph"))))
+    return _rows(counted, F.array(_finding("STRUCTURE", "structure", F.col("n"), profile.thresholds["max_paragraph_words"], _capped(20, 0.75))))
 
 
 def repeated_words_rule(sent: DataFrame, profile: P.Profile) -> DataFrame:
@@ -90,7 +122,7 @@ def repeated_words_rule(sent: DataFrame, profile: P.Profile) -> DataFrame:
     w = sent.select("doc_id", "sentence_index", F.explode(F.transform(X.words(F.col("sentence")), F.lower)).alias("word"))
     w = w.filter((F.length("word") >= 7) & ~F.col("word").isin(P.STOP_LEMMAS) & F.col("word").rlike(r"^\p{L}+$"))
     counted = w.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("sentence_index").alias("sentence_index"))
-    return _rows(counted, "REDUNDANCY", "redundancy", F.col("n"), profile.thresholds["max_repeated_content_word"], _capped(10, 2), F.lit("low"))
+    return _rows(counted, F.array(_finding("REDUNDANCY", "redundancy", F.col("n"), profile.thresholds["max_repeated_content_word"], _capped(10, 2), "low")))
 
 
 def lemma(word: Column) -> Column:
@@ -98,37 +130,57 @@ def lemma(word: Column) -> Column:
     return F.when(word.isin("am", "is", "are", "was", "were", "been", "being"), "be").when(word.isin("has", "had", "having"), "have").otherwise(word)
 
 
+def _lemma_line(words: Column) -> Column:
+    """Lemmas with two blanks between and one at either end, so that neighbouring matches share none."""
+    return F.concat(F.lit(" "), F.array_join(F.transform(words, lemma), "  "), F.lit(" "))
+
+
+def _times(line: Column, phrase: str) -> Column:
+    spaced = " " + phrase.replace(" ", "  ") + " "
+    return ((F.length(line) - F.length(F.replace(line, F.lit(spaced), F.lit("")))) / len(spaced)).cast("int")
+
+
+def _phrases(phrases: dict[str, list[str]]) -> list[tuple[str, str]]:
+    return [(k, p) for k, ps in sorted(phrases.items()) for p in ps]
+
+
 def phrase_counts(sent: DataFrame, phrases: dict[str, list[str]]) -> DataFrame:
     """(doc_id, sentence_index, label, phrase, n): contiguous word lemmas, punctuation between skipped."""
-    line = F.concat(F.lit(" "), F.array_join(F.transform(F.transform(X.words(F.col("sentence")), F.lower), lemma), "  "), F.lit(" "))
-    table = F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.lit(p).alias("phrase")) for k, ps in sorted(phrases.items()) for p in ps]))
-    spaced = F.concat(F.lit(" "), F.replace(F.col("phrase"), F.lit(" "), F.lit("  ")), F.lit(" "))
-    rows = sent.select("doc_id", "sentence_index", line.alias("line"), table.alias("p")).select("doc_id", "sentence_index", "line", "p.*")
-    n = ((F.length("line") - F.length(F.replace(F.col("line"), spaced, F.lit("")))) / F.length(spaced)).cast("int")
-    return rows.select("doc_id", "sentence_index", "label", "phrase", n.alias("n")).filter("n > 0")
+    rows = sent.withColumn("_line", _lemma_line(F.transform(X.words(F.col("sentence")), F.lower)))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.lit(p).alias("phrase"), _times(F.col("_line"), p).alias("n")) for k, p in _phrases(phrases)]))
+    return rows.select("doc_id", F.col("sentence_index").cast("int").alias("sentence_index"), each.alias("p")).select("doc_id", "sentence_index", "p.*").filter("n > 0")
 
 
-def filler_rule(sent: DataFrame, phrases: dict[str, list[str]] = P.FILLER_PHRASES) -> DataFrame:
-    found = phrase_counts(sent, phrases).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    return _rows(found, "FILLER", "redundancy", F.lit(1), 0, F.lit(4), F.lit("medium"))
+def filler_rule(phrases: dict[str, list[str]]) -> Column:
+    """One finding for each match of a phrase."""
+    one = _finding("FILLER", "redundancy", F.lit(1), 0, _fixed(4), "medium")
+    return F.concat(*[F.array_repeat(one, _times(F.col("_line"), p)) for _, p in _phrases(phrases)])
 
 
-def qualifier_rule(sent: DataFrame, profile: P.Profile) -> DataFrame:
+def qualifier_rule(profile: P.Profile) -> Column:
     """Two qualifiers side by side, else too many in a sentence."""
-    t = profile.thresholds["max_qualifiers_per_sentence"]
-    w = sent.withColumn("_q", F.transform(X.words(F.col("sentence")), lambda x: F.lower(x).isin(P.QUALIFIERS)))
     n = F.size(F.filter("_q", lambda q: q))
     stacked = F.exists(F.zip_with("_q", F.slice("_q", 2, F.greatest(F.size("_q"), F.lit(1))), lambda a, b: F.coalesce(a & b, F.lit(False))), lambda x: x)
-    w = w.withColumn("_n", n).withColumn("_s", stacked)
-    pair = _rows(w.filter("_s"), "QUALIFIER", "redundancy", F.col("_n"), 1, F.lit(5), F.lit("medium"))
-    many = _rows(w.filter("NOT _s AND _n >= 2"), "QUALIFIER", "redundancy", F.col("_n"), t, _capped(10, 3))
-    return pair.unionByName(many)
+    pair = _finding("QUALIFIER", "redundancy", n, 1, _fixed(5), "medium")
+    many = _finding("QUALIFIER", "redundancy", n, profile.thresholds["max_qualifiers_per_sentence"], _capped(10, 3))
+    return F.array(F.when(n >= 2, F.when(stacked, pair).otherwise(many)))
+
+
+def local_rules(profile: P.Profile, phrases: dict[str, list[str]] | None = None) -> dict[str, Column]:
+    """All rules that need one sentence alone, as columns over ``measured``."""
+    return {**sentence_rules(profile), **compound_rules(profile), "FILLER": filler_rule(phrases or P.FILLER_PHRASES), "QUALIFIER": qualifier_rule(profile)}
+
+
+def local_findings(docs: DataFrame, profile: P.Profile, rules: list[str] | None = None, phrases: dict[str, list[str]] | None = None) -> DataFrame:
+    """Findings of the rules of one sentence: one scan, no shuffle."""
+    found = local_rules(profile, phrases)
+    return _rows(measured(X.sentences(docs, ["doc_id"])), *[found[r] for r in rules or found])
 
 
 def findings(docs: DataFrame, profile: P.Profile) -> DataFrame:
-    """All findings of documents under a policy."""
+    """All findings of documents under a policy: one scan for the local rules, one for each that groups."""
     sent = X.sentences(docs, ["doc_id"])
-    parts = [*sentence_rules(sent, profile), *compound_rules(sent, profile), acronym_rule(docs, sent, profile), paragraph_rule(docs, profile), repeated_words_rule(sent, profile), filler_rule(sent), qualifier_rule(sent, profile)]
+    parts = [local_findings(docs, profile), acronym_rule(docs, sent, profile), paragraph_rule(docs, profile), repeated_words_rule(sent, profile)]
     return reduce(DataFrame.unionByName, parts)
 
 

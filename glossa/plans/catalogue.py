@@ -59,21 +59,16 @@ def _sentences(s: SparkSession, d: str) -> DataFrame:
     return X.sentences(english(s, d), ["doc_id"])
 
 
-def _one(n: int, rules: Callable, oracle: list[str], name: str) -> None:
-    register(name, lambda s, d: rules(_sentences(s, d), USUAL)[n], oracle[n])
-
-
-for _n, _name in enumerate(["r1_long_sentences", "r4_punctuation_depth", "r5_nominalizations", "r18_inline_lists"]):
-    _one(_n, D.sentence_rules, O.sentence_rules(USUAL), _name)
-for _n, _name in enumerate(["r7_compound_depth", "r15_compounds"]):
-    _one(_n, D.compound_rules, O.compound_rules(USUAL), _name)
+_LOCAL = {"r1_long_sentences": "SENTENCE", "r4_punctuation_depth": "PUNCTUATION", "r5_nominalizations": "NOMINALIZATION", "r18_inline_lists": "LIST", "r7_compound_depth": "COMPOUND-DEPTH", "r15_compounds": "COMPOUND"}
+for (_name, _rule), _oracle in zip(_LOCAL.items(), [*O.sentence_rules(USUAL), *O.compound_rules(USUAL)], strict=True):
+    register(_name, lambda s, d, r=_rule: D.local_findings(english(s, d), USUAL, [r]), _oracle)
 register("st16_hyphen_terms", lambda s, d: D.hyphen_terms(_sentences(s, d)), O.hyphen_terms())
 register("r16_undefined_acronyms", lambda s, d: D.acronym_rule(english(s, d), _sentences(s, d), USUAL), O.acronym_rule(USUAL))
 register("r17_long_paragraphs", lambda s, d: D.paragraph_rule(english(s, d), USUAL), O.paragraph_rule(USUAL))
 register("r20_repeated_words", lambda s, d: D.repeated_words_rule(_sentences(s, d), USUAL), O.repeated_words_rule(USUAL))
-register("r21_filler_phrases", lambda s, d: D.filler_rule(_sentences(s, d), DATA_PHRASES), O.filler_rule(DATA_PHRASES))
+register("r21_filler_phrases", lambda s, d: D.local_findings(english(s, d), USUAL, ["FILLER"], DATA_PHRASES), O.filler_rule(DATA_PHRASES))
 register("r26_phrase_matches", lambda s, d: D.phrase_counts(_sentences(s, d), DATA_PHRASES), O.phrase_counts(DATA_PHRASES))
-register("r24_qualifiers", lambda s, d: D.qualifier_rule(_sentences(s, d), USUAL), O.qualifier_rule(USUAL))
+register("r24_qualifiers", lambda s, d: D.local_findings(english(s, d), USUAL, ["QUALIFIER"]), O.qualifier_rule(USUAL))
 register("r29_findings", lambda s, d: D.findings(english(s, d), USUAL), O.findings(USUAL))
 for _profile in P.WEIGHTS:
     _p = P.load_profile(_profile)
