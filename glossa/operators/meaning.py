@@ -124,7 +124,7 @@ def judged(pairs: DataFrame, growth_percent: int = 10, growth_words: int = 12) -
 
 
 def first_accepted(attempts: DataFrame, most: int = 3) -> DataFrame:
-    """(source_id, attempts, accepted_index): the loop over candidates ends at the first accepted one."""
+    """(source_id, attempts, accepted_index, -1 for none): the loop over candidates ends at the first accepted one."""
     tried = attempts.filter(F.col("index") < most)
     first = tried.groupBy("source_id").agg(F.min(F.when(F.col("accepted"), F.col("index"))).alias("accepted_index"), F.count("*").alias("given"))
-    return first.select("source_id", F.coalesce(F.col("accepted_index") + 1, F.col("given")).cast("long").alias("attempts"), "accepted_index")
+    return first.select("source_id", F.coalesce(F.col("accepted_index") + 1, F.col("given")).cast("long").alias("attempts"), F.coalesce("accepted_index", F.lit(-1)).alias("accepted_index"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glossa.operators import dependencies as D
 from glossa.operators import meaning as M
+from glossa.operators import purposes as U
 from glossa.operators import stemming
 from glossa.operators.blocks import blocks
 from glossa.plans import oracles as O
@@ -46,6 +47,10 @@ STEMS = ["ratification", "ratify", "authorisation", "authorize", "decision", "de
 MARKDOWN = [
     (1, "# Title\n\nProse that\nwraps.\n\n- one\n- two\n  more\n\n> quote\n\n```\ncode | x\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n---\nEnd\n===\n"), (2, "    indented\n\n<div>\nx\n</div>\n\n1) item\r\n\r\nlast"), (3, ""),
 ]
+ADVICE = [
+    (1, 0, "The team must fix the outage and confirm the decision before the gate opens."), (1, 1, "The team should resolve that outage quickly."), (1, 2, "All is quiet."), (1, 3, "They shall remediate outage causes and verify claims."),
+    (2, 0, "You should publish notes."), (2, 1, "You should document notes, approve plans, fix gaps until the validation is done."), (3, 0, "Nothing to do."),
+]
 
 
 def values(rows: list[tuple], names: str) -> str:
@@ -125,7 +130,26 @@ FROM (SELECT *, CASE WHEN last IN ('%', 'percent') THEN 'percent' WHEN one IN ({
   replace(regexp_extract(q, '\\d[\\d,]*(?:\\.\\d+)?'), ',', '') AS digits, CASE {_WORD} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in M.NUMBERS.items())} ELSE '' END AS named
   FROM (SELECT phrase, lower(trim(phrase)) AS q FROM {values([(q,) for q in QUANTITIES], 'phrase')}))))"""
 
+def advice(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(ADVICE, "doc_id int, sentence_index int, sentence string")
+
+
+_A = values(ADVICE, "doc_id, sentence_index, sentence")
+_LEMMAS = f"list_transform({O.lowered_words()}, lambda w: CASE WHEN w IN ('am', 'is', 'are', 'was', 'were', 'been', 'being') THEN 'be' WHEN w IN ('has', 'had', 'having') THEN 'have' ELSE w END)"
+_LABELS = ", ".join("CASE WHEN " + " OR ".join(f"contains(line, ' {m} ')" for m in ms) + f" THEN '{k}' END" for k, ms in sorted(U.PURPOSES.items()))
+_MIXED = f"""SELECT doc_id, sentence_index, CAST(len(l) AS INTEGER) AS n, array_to_string(l, ', ') AS labels, CAST(least(14.0, (len(l) - 2) * 4.0) AS DOUBLE) AS penalty
+FROM (SELECT *, list_filter([{_LABELS}], lambda x: x IS NOT NULL) AS l FROM (SELECT *, ' ' || array_to_string({_LEMMAS}, ' ') || ' ' AS line FROM {_A})) WHERE len(l) > 2"""
+_GROUPS = ", ".join(f"CASE WHEN list_has_any(w, [{O.quoted(vs)}]) THEN '{k}' END" for k, vs in sorted(U.ACTION_GROUPS.items()))
+_KNOWN = O.quoted([v for vs in U.ACTION_GROUPS.values() for v in vs] + U.STOP_LEMMAS + U.DIRECTIVES)
+_TWICE = f"""WITH r AS (SELECT doc_id, sentence_index, w FROM (SELECT *, {_LEMMAS} AS w FROM {_A}) WHERE list_has_any(w, [{O.quoted(U.DIRECTIVES)}])),
+g AS (SELECT doc_id, sentence_index, w, unnest(list_filter([{_GROUPS}], lambda x: x IS NOT NULL)) AS action_group FROM r),
+k AS (SELECT doc_id, sentence_index, action_group, unnest(list_distinct(list_filter(w, lambda x: length(x) >= 5 AND x NOT IN ({_KNOWN})))) AS term FROM g),
+p AS (SELECT b.doc_id, b.sentence_index, a.sentence_index AS earlier, action_group FROM k a JOIN k b USING (doc_id, action_group, term) WHERE a.sentence_index < b.sentence_index)
+SELECT doc_id, sentence_index, min(earlier) AS earlier, arg_min(action_group, (earlier, action_group)) AS action_group FROM p GROUP BY ALL"""
+
 QUERIES = {
+    "r19_mixed_purposes": (lambda s, d: U.mixed_purposes(advice(s)), _MIXED),
+    "r22_duplicated_recommendations": (lambda s, d: U.duplicated_recommendations(advice(s)), _TWICE),
     "r10_passive_verbs": (lambda s, d: D.passive_verbs(tokens(s)), _PASSIVE),
     "r9_agentless_decisions": (
         lambda s, d: D.agentless_decisions(tokens(s)),
@@ -174,7 +198,7 @@ FROM (SELECT *, source_words + CAST(greatest(12, ceil(source_words * 10 / 100))
     ),
     "c17_first_accepted": (
         lambda s, d: M.first_accepted(s.createDataFrame(ATTEMPTS, "source_id int, index int, accepted boolean")),
-        f"""SELECT source_id, coalesce(min(index) FILTER (accepted) + 1, count(*)) AS attempts, min(index) FILTER (accepted) AS accepted_index
+        f"""SELECT source_id, coalesce(min(index) FILTER (accepted) + 1, count(*)) AS attempts, coalesce(min(index) FILTER (accepted), -1) AS accepted_index
 FROM {values(ATTEMPTS, 'source_id, index, accepted')} WHERE index < 3 GROUP BY source_id""",
     ),
     "m18_action_stems": (lambda s, d: s.createDataFrame([(w,) for w in STEMS], "word string").select("word", stemming.stem(F.col("word")).alias("stem")), None),

@@ -1,6 +1,7 @@
 """The text-governance operators on small rows with known answers."""
 
 import datetime
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from glossa.operators import scoring as S
 from glossa.operators.blocks import block_counts, blocks, code_spans, segment
 from glossa.operators.stemming import action_stem
 from glossa.plans import inline
+from glossa.sources import files
 from glossa.sources import profiles as P
 from glossa.streaming import feed
 
@@ -135,6 +137,28 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
     assert sorted(spark.table("windows").collect()) == sorted(feed.window_averages(table).collect())
 
 
+def test_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, text in (("a.md", "One.\nTwo.\n"), ("b.md", "É")):
+        (tmp_path / "in" / name).write_text(text, encoding="utf-8")
+    got = {r.path[-4:]: r for r in files.read_texts(spark, str(tmp_path / "in")).collect()}
+    assert got["a.md"].text == "One.\nTwo.\n" and got["b.md"].sha256 == hashlib.sha256("É".encode()).hexdigest()
+    files.write_json({"b": "é", "a": 1}, str(tmp_path / "o.json"))
+    assert (tmp_path / "o.json").read_text() == '{\n  "a": 1,\n  "b": "\\u00e9"\n}\n'
+    files.write_text("x\n\n", str(tmp_path / "o.txt"))
+    assert (tmp_path / "o.txt").read_text() == "x\n"
+    with pytest.raises(ValueError):
+        files.guard_output(str(tmp_path / "in" / "a.md"), [str(tmp_path / "in" / ".." / "in" / "a.md")], [])
+    with pytest.raises(ValueError):
+        files.guard_output(str(tmp_path / "in" / "new"), [], [str(tmp_path / "in")])
+    files.guard_output(str(tmp_path / "new"), [str(tmp_path / "in" / "a.md")], [str(tmp_path / "in")])
+
+
+def test_syllable_tables(spark, tmp_path):
+    (tmp_path / "d").write_text(";;; note\nEVERY EH1 V ER0 IY0 # x\nEVERY(2) EH1 V R IY0\naalborg AO1 L B AO0 R G\n")
+    assert {tuple(r) for r in files.derive_syllables(spark, str(tmp_path / "d")).collect()} == {("every", 3), ("aalborg", 2)}
+
+
 def test_every_oracle_has_its_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert len(__spark_entry__.queries()) >= 40
