@@ -190,6 +190,18 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+def _least_step(table: DataFrame, count: str, most: int, steps: int) -> int:
+    """The least step of log2(count) * ``steps`` from which on at most ``most`` rows are left; few rows are looked at."""
+    sizes = sorted(table.groupBy(F.floor(F.log2(count) * steps).alias("p")).count().collect(), reverse=True)
+    least, total = (sizes[0][0] + 1 if sizes else 0), 0
+    for step, size in sizes:
+        total += size
+        if total > most:
+            break
+        least = step
+    return int(least)
+
+
 def train(texts: DataFrame, max_grams: int = 4_000_000) -> Trie:
     """The trie of all ``texts`` (text). Only levels of at most ``max_grams`` rows come to the driver."""
     longest = materialize(count_grams(texts), "grams")
@@ -197,15 +209,7 @@ def train(texts: DataFrame, max_grams: int = 4_000_000) -> Trie:
     for k in range(ORDER, -1, -1):
         level = longest if k == ORDER else longest.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
         level = level if k == ORDER else materialize(level, "grams")
-        # counts by powers of two: few rows; the least power that leaves at most max_grams
-        sizes = sorted(level.groupBy(F.floor(F.log2("n")).alias("p")).count().collect(), reverse=True)
-        power, total = None, 0
-        for p, size in sizes:
-            total += size
-            if total > max_grams:
-                break
-            power = p
-        power = 0 if power is None else power
+        power = _least_step(level, "n", max_grams, 1)
         least = power if least is None else min(power, least)  # what a longer context keeps, a shorter one does
         kept = level.filter(F.floor(F.log2("n")) >= least).toArrow()
         levels.append((kept.column("gram").to_numpy(), kept.column("n").to_numpy()))
@@ -236,15 +240,15 @@ def scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, top_words: int
     n_train = int(n_words) + n_docs
     log_all = float(np.log10(n_train + n_distinct + (n_docs > 0) + 1))
     end_part, end_known = float(np.log10(n_docs + 1)), int(n_docs > 0)
-    top = words.orderBy(F.desc("c"), "word").limit(top_words).toArrow()  # at most top_words
+    top = words.filter(F.floor(F.log2("c") * 16) >= _least_step(words, "c", top_words, 16)).toArrow()  # at most top_words rows
     shared = spark.sparkContext.broadcast((_save(trie), dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))))
 
     def load(value):
         levels, common = value
-        return Trie(levels), common, {w: float(np.log10(c + 1)) for w, c in common.items()}
+        return Trie(levels), {w: float(np.log10(c + 1)) for w, c in common.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, common, logs = _once_value(shared, load)
+        trie, logs = _once_value(shared, load)
         number = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 256):
             texts = text_bytes(batch.column(1))
