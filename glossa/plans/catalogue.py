@@ -140,6 +140,10 @@ register(
 from glossa.plans import inline  # noqa: E402
 from glossa.streaming import feed  # noqa: E402
 
+from glossa.operators.annotate import tokens as annotated  # noqa: E402
+
+register("st10_annotated_tokens", lambda s, d: annotated(_sentences(s, d)))
+register("m13_document_claims", lambda s, d: inline.C.claims(annotated(_sentences(s, d))))
 for _name, (_query, _oracle) in inline.QUERIES.items():
     register(_name, _query, _oracle)
 register(

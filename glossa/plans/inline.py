@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.operators import claims as C
 from glossa.operators import dependencies as D
 from glossa.operators import meaning as M
 from glossa.operators import purposes as U
 from glossa.operators import stemming
+from glossa.operators.annotate import tokens as annotated
 from glossa.operators.blocks import blocks
 from glossa.plans import oracles as O
 
@@ -47,6 +49,17 @@ STEMS = ["ratification", "ratify", "authorisation", "authorize", "decision", "de
 MARKDOWN = [
     (1, "# Title\n\nProse that\nwraps.\n\n- one\n- two\n  more\n\n> quote\n\n```\ncode | x\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n---\nEnd\n===\n"), (2, "    indented\n\n<div>\nx\n</div>\n\n1) item\r\n\r\nlast"), (3, ""),
 ]
+TEXT_PAIRS = [  # pair_id, source, candidate
+    (1, "The platform team must resolve the authorization gaps.", "The authorization gaps must be resolved by the platform team."),
+    (2, "Verify the two outstanding data loss hypotheses.", "Verify the three outstanding data loss hypotheses."),
+    (3, "Close the audit findings before the design returns for sign-off.", "Close the audit findings after the design returns for sign-off."),
+    (4, "The platform team must resolve the authorization gaps.", "The authorization gaps must be resolved."),
+    (5, "The authorization gaps must be resolved.", "The platform team must resolve the authorization gaps."),
+    (6, "The operator must quarantine the cache.", "The operator shall quarantine the cache."),
+    (7, "The operator must quarantine the cache.", "The operator must not quarantine the cache."),
+    (8, "Fix the outage.", "Remediate the outage."),
+    (9, "The operator must quarantine the cache.", "The operator should quarantine the cache."),
+]
 ADVICE = [
     (1, 0, "The team must fix the outage and confirm the decision before the gate opens."), (1, 1, "The team should resolve that outage quickly."), (1, 2, "All is quiet."), (1, 3, "They shall remediate outage causes and verify claims."),
     (2, 0, "You should publish notes."), (2, 1, "You should document notes, approve plans, fix gaps until the validation is done."), (3, 0, "Nothing to do."),
@@ -201,6 +214,11 @@ FROM (SELECT *, source_words + CAST(greatest(12, ceil(source_words * 10 / 100))
         f"""SELECT source_id, coalesce(min(index) FILTER (accepted) + 1, count(*)) AS attempts, coalesce(min(index) FILTER (accepted), -1) AS accepted_index
 FROM {values(ATTEMPTS, 'source_id, index, accepted')} WHERE index < 3 GROUP BY source_id""",
     ),
+    "m13_claims": (
+        lambda s, d: C.claims(annotated(s.createDataFrame([(i, 0, t) for i, t, _ in TEXT_PAIRS], "doc_id int, sentence_index int, sentence string"))),
+        None,
+    ),
+    "c0_compared_texts": (lambda s, d: C.compare_texts(s.createDataFrame(TEXT_PAIRS, "pair_id int, source string, candidate string")), None),
     "m18_action_stems": (lambda s, d: s.createDataFrame([(w,) for w in STEMS], "word string").select("word", stemming.stem(F.col("word")).alias("stem")), None),
     "st1_blocks": (lambda s, d: blocks(s.createDataFrame(MARKDOWN, "doc_id int, text string"), ["doc_id"]), None),
     "st1_conversation_blocks": (lambda s, d: blocks(s.read.parquet(f"{d}/conversations.parquet"), ["conv_id", "turn"]), None),

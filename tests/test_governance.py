@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from glossa.functions import text as X
+from glossa.operators import claims
 from glossa.operators import findings as D
 from glossa.operators import meaning as M
 from glossa.operators import readability as R
 from glossa.operators import scoring as S
+from glossa.operators.annotate import annotate, tokens
 from glossa.operators.blocks import block_counts, blocks, code_spans, segment
 from glossa.operators.stemming import action_stem
 from glossa.plans import inline
@@ -120,6 +122,26 @@ def test_meaning(spark):
     assert {r.pair_id: r.disposition for r in inline._dispositions(spark).collect()} == {1: "changed", 2: "changed", 3: "unresolved", 4: "equivalent", 5: "equivalent"}
 
 
+def test_annotation():
+    got = {t["text"]: (t["pos"], t["dep"], t["head"]) for t in annotate("The authorization gaps must be resolved by the platform team.")}
+    assert got["gaps"] == ("NOUN", "nsubjpass", 5) and got["by"][1] == "agent" and got["team"][1] == "pobj" and got["authorization"] == ("NOUN", "compound", 2)
+    assert annotate("") == [] and annotate("Hello")[0]["dep"] == "ROOT"
+    assert {t["text"]: t["pos"] for t in annotate("The service is complete.")}["complete"] == "ADJ"
+
+
+def test_compared_texts(spark):
+    got = {r.pair_id: (r.disposition, r.specified) for r in claims.compare_texts(spark.createDataFrame(inline.TEXT_PAIRS, "pair_id int, source string, candidate string")).collect()}
+    assert got == {1: ("equivalent", 0), 2: ("changed", 0), 3: ("changed", 0), 4: ("changed", 0), 5: ("equivalent", 1), 6: ("equivalent", 0), 7: ("changed", 0), 8: ("equivalent", 0), 9: ("changed", 0)}
+
+
+def test_claims_of_one_text(spark):
+    sent = spark.createDataFrame([(1, 0, "The operator shall quarantine the cache and review logs."), (2, 0, "Do not deploy the cache.")], "doc_id int, sentence_index int, sentence string")
+    got = {(r.doc_id, r.actor, r.action, r.target, r.modality, r.polarity) for r in claims.claims(tokens(sent)).collect()}
+    assert got == {
+        (1, "operator", action_stem("quarantine"), "cache", "must", "positive"), (1, "operator", action_stem("review"), "log", "must", "positive"), (2, "unspecified", action_stem("deploy"), "cache", "must", "negative"),
+    }
+
+
 def test_judgement(spark):
     got = {r.pair_id: r.reasons for r in M.judged(spark.createDataFrame(inline.JUDGED, inline.JUDGED_SCHEMA)).collect()}
     assert got == {1: "", 2: "meaning_changed", 3: "score_not_improved,new_high_severity,too_long", 4: "meaning_unresolved,score_not_improved,new_high_severity,too_long"}
