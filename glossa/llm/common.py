@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.deploy import ship
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -55,6 +57,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage at a replicated place, so that a lost executor costs nothing before it,
     and gives the planner the table's true size for its choice of joins.
     """
+    ship(df.sparkSession)
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
