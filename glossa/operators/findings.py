@@ -178,7 +178,10 @@ def local_findings(docs: DataFrame, profile: P.Profile, rules: list[str] | None
 
 
 def findings(docs: DataFrame, profile: P.Profile) -> DataFrame:
-    """All findings of documents under a policy: one scan for the local rules, one for each that groups."""
+    """Findings of R1, R4, R5, R7, R15 to R18, R20, R21 and R24: one scan for the local rules, one for each that groups.
+
+    The other rules are not in it (README lists them) and none here has the dimension "agency".
+    """
     sent = X.sentences(docs, ["doc_id"])
     parts = [local_findings(docs, profile), acronym_rule(docs, sent, profile), paragraph_rule(docs, profile), repeated_words_rule(sent, profile)]
     return reduce(DataFrame.unionByName, parts)
