@@ -3,7 +3,8 @@
 Both kinds of vocabulary split a text before merging, and never across the boundaries used here, so
 that a text's ids are the ids of its pieces, one after the other. Each distinct piece is encoded by
 the library once (while the memory holds it). Texts with characters outside a plain set, whose
-normalisation or splitting might depend on more, go through the library whole.
+normalisation or splitting might depend on more, and texts with an added token's string go through the
+library whole.
 """
 
 from __future__ import annotations
@@ -77,7 +78,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
+        added = [x["content"] for x in spec.get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None  # some match after folding
         kind = (spec["pre_tokenizer"] or {}).get("type")
         steps = [x.get("type") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
         names = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -134,7 +136,8 @@ class Encoder:
         return [b"".join(map(known, p)) for p in parts]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        pieces = [[] if not x else self.split(x) if _PLAIN.fullmatch(x) else None for x in texts]
+        has_added = self.added.search if self.added else lambda text: None
+        pieces = [[] if not x else self.split(x) if _PLAIN.fullmatch(x) and not has_added(x) else None for x in texts]
         get = self.pieces.turn().get
         new: set[str] = set()
         for p in pieces:
