@@ -144,6 +144,13 @@ from glossa.operators.annotate import tokens as annotated  # noqa: E402
 
 register("st10_annotated_tokens", lambda s, d: annotated(_sentences(s, d)))
 register("m13_document_claims", lambda s, d: inline.C.claims(annotated(_sentences(s, d))))
+#: The rules over tokens and purposes on whole documents; the inline queries of like names hold them against SQL.
+register("r2_r3_document_sentence_loads", lambda s, d: inline.D.sentence_loads(annotated(_sentences(s, d))))
+register("r6_document_noun_stacks", lambda s, d: inline.D.noun_stacks(annotated(_sentences(s, d))))
+register("r9_document_agentless_decisions", lambda s, d: inline.D.agentless_decisions(annotated(_sentences(s, d))))
+register("r10_document_passive_verbs", lambda s, d: inline.D.passive_verbs(annotated(_sentences(s, d))))
+register("r19_document_mixed_purposes", lambda s, d: inline.U.mixed_purposes(_sentences(s, d)))
+register("r22_document_duplicated_recommendations", lambda s, d: inline.U.duplicated_recommendations(_sentences(s, d)))
 for _name, (_query, _oracle) in inline.QUERIES.items():
     register(_name, _query, _oracle)
 register(
