@@ -6,7 +6,7 @@ governing token, its own for a root. Every rule is a semi-join or a grouped coun
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the annotation scheme and the rules.
@@ -55,12 +55,12 @@ def sentence_loads(tokens: DataFrame) -> DataFrame:
 
 def noun_stacks(tokens: DataFrame, least: int = 3) -> DataFrame:
     """Contiguous compound and adjective modifiers that end at their head noun: gaps and islands by index."""
-    stacked = tokens.filter((F.col("pos").isin("NOUN", "PROPN", "ADJ")) & F.col("dep").isin("compound", "amod")).select("doc_id", "index", "head", "sentence_index")
-    heads = tokens.filter(F.col("pos").isin("NOUN", "PROPN") & ~F.col("dep").isin("compound")).select("doc_id", F.col("index").alias("root"), F.col("text").alias("head_text"))
-    near = stacked.join(heads, "doc_id").filter((F.col("root") > F.col("index")) & (F.col("root") - F.col("index") <= 12))
-    runs = near.groupBy("doc_id", "sentence_index", "root", "head_text").agg(F.collect_set("index").alias("found"))
-    length = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(0), lambda n, d: F.when((n == d - 1) & F.array_contains("found", F.col("root") - d), d).otherwise(n))
-    return runs.select(*KEY, "root", "head_text", (length + 1).alias("depth")).filter(F.col("depth") >= least)
+    stacked = tokens.filter((F.col("pos").isin("NOUN", "PROPN", "ADJ")) & F.col("dep").isin("compound", "amod")).select(*KEY, "index")
+    island = F.col("index") - F.row_number().over(Window.partitionBy(*KEY).orderBy("index"))
+    length = F.row_number().over(Window.partitionBy(*KEY, "island").orderBy("index"))
+    runs = stacked.withColumn("island", island).select(*KEY, (F.col("index") + 1).alias("root"), (length + 1).alias("depth")).filter(F.col("depth") >= least)
+    heads = tokens.filter(F.col("pos").isin("NOUN", "PROPN") & ~F.col("dep").isin("compound")).select(*KEY, F.col("index").alias("root"), F.col("text").alias("head_text"))
+    return runs.join(heads, [*KEY, "root"]).select(*KEY, "root", "head_text", "depth")
 
 
 def subtree(tokens: DataFrame) -> DataFrame:
