@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +20,17 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset.
+
+    Only a local session, whose executors are the driver, may go without: elsewhere it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = got.get() if got.isDefined() else None
     if path is None:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='glossa-shared-')}"
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -89,6 +97,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def sized_slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with about ``most_bytes`` of a text column each, one row at least."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(size) - size) // most_bytes
+        edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for first, last in zip(edge, edge[1:], strict=False):
+            if last > first:
+                yield batch.slice(first, last - first)
+
+
 def id_residue(doc_id: Column, modulus: int) -> Column:
     """crc32 of the decimal text of an id, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % modulus

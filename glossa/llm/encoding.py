@@ -1,10 +1,10 @@
-"""Whole-text encoding with the tokenizers library, remembering what pieces of text encode to.
+"""Whole-text encoding with the tokenizers library, remembering what words encode to.
 
 Both kinds of vocabulary split a text before merging, and never across the boundaries used here, so
-that a text's ids are the ids of its pieces, one after the other. Each distinct piece is encoded by
-the library once (while the memory holds it). Texts with characters outside a plain set, whose
-normalisation or splitting might depend on more, and texts with an added token's string go through the
-library whole.
+that a text's ids are the ids of its pieces, one after the other. Arrow splits a batch of texts, finds
+its distinct pieces and lays their ids out again; the library merges each distinct word once (while the
+memory holds it). Texts with characters outside a plain set, whose normalisation or splitting might
+depend on more, and texts with an added token's string go through the library whole.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain, compress, repeat
-from operator import is_
 from struct import pack
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters for which pieces are safe. Latin letters with marks, without the dotted
 #: capital I (its lower case has two code points), and white space only as blank and line feed.
@@ -28,7 +28,7 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 _BYTE_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n{_LETTERS}0-9]+|[ \n]+(?![^ \n])|[ \n]")
 _WORD_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^ \n{_LETTERS}0-9]+")
 _MARKS = ".,;:!?)*$#%&|"
-_REMEMBERED = 400_000
+_REMEMBERED, _LONG = 400_000, 48
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -41,29 +41,30 @@ def _byte_alphabet() -> dict[int, str]:
 _ALPHABET = _byte_alphabet()
 
 
-class Memo:
-    """A mapping of bounded size in two generations: what is asked for stays, the rest goes in time."""
+class Memo(dict):
+    """What ``make`` gives for each key, remembered for short keys in two generations of a bounded size.
 
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
+    What is asked for stays, the rest goes in time. Keys over ``_LONG`` characters are made anew each time,
+    so that texts without white space hold no memory: at most ``2 * limit`` entries of bounded length.
+    """
 
-    def turn(self) -> dict[str, bytes]:
-        """The young generation, a new one if it is full."""
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        return self.young
+    def __init__(self, limit: int, make):
+        super().__init__()
+        self.limit, self.make, self.old = limit, make, {}
 
-    def ensure(self, keys: set[str], make) -> dict[str, bytes]:
-        """The young generation with all ``keys`` in it; ``make`` gives the values of a list of new ones."""
-        new = keys.difference(self.young)
-        if self.old and new:
-            found = {k: self.old[k] for k in new if k in self.old}
-            self.young.update(found)
-            new.difference_update(found)
-        if new:
-            listed = list(new)
-            self.young.update(zip(listed, make(listed), strict=True))
-        return self.young
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= _LONG:
+            self[key] = value
+        return value
+
+    def turn(self) -> None:
+        """Begin a new generation if this one is full."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -88,25 +89,31 @@ class Encoder:
         elif steps == ["Split", "ByteLevel"] and names == ["NFC", "Replace", "Lowercase"] and spec["pre_tokenizer"]["pretokenizers"][0]["behavior"] == "Removed":
             self.split, self.parts = self._words, _WORD_PARTS
         else:
-            self.split = lambda text: None
-        self.pieces, self.tokens = Memo(_REMEMBERED), Memo(_REMEMBERED)
+            self.split = self.parts = None
+        self.before = "" if self.parts is _WORD_PARTS else " "
+        self.tokens = Memo(_REMEMBERED // 4, self._merged)
+        self.bases = Memo(_REMEMBERED, self._of_base)
 
     @staticmethod
-    def _words(text: str) -> list[str]:
+    def _words(texts: list[str]) -> pa.ListArray:
         """White space is dropped and case folded; no token spans white space."""
-        return text.lower().split()
+        return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string()))))
 
     @staticmethod
-    def _byte_level(text: str) -> list[str]:
+    def _byte_level(texts: list[str]) -> pa.ListArray:
         """Pieces that start with a blank lose it; the others get a mark in front, but line feeds before a word."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
-            return [x[1:] if x[0] == " " and len(x) > 1 and x[1] not in " \n" else "\x01" + x for x in _PIECES.findall(text)]
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = "\x01" + pieces[0]
-        return pieces
+        odd = ["  " in x or "\n\n" in x or " \n" in x or "\n " in x or x[0] in " \n" or x[-1] in " \n" for x in texts]
+        even = pa.array(["\x01" + x.replace("\n", " \n") for x, o in zip(texts, odd, strict=True) if not o], pa.large_string())
+        rest = [[x[1:] if x[0] == " " and len(x) > 1 and x[1] not in " \n" else "\x01" + x for x in _PIECES.findall(t)] for t, o in zip(texts, odd, strict=True) if o]
+        listed = pc.split_pattern(even, " ")
+        if not rest:
+            return listed
+        at = np.empty(len(texts), np.int64)
+        at[np.argsort(odd, kind="stable")] = np.arange(len(texts))
+        return pa.concat_arrays([listed, pa.array(rest, listed.type)]).take(pa.array(at))
 
     def _restored(self, piece: str) -> str:
-        if self.split is self._words or piece[0] == "\n":
+        if self.parts is _WORD_PARTS or piece[0] == "\n":
             return piece
         return piece[1:] if piece[0] == "\x01" else " " + piece
 
@@ -116,36 +123,55 @@ class Encoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)]
         return out
 
-    def _parts(self, piece: str) -> tuple[str, ...] | list[str]:
-        """What the vocabulary merges inside a piece; mostly a word and the marks after it."""
-        word = piece.rstrip(_MARKS)
-        if word.isalpha():  # so it is no contraction, and has no blank of its own
-            shown = word if self.split is self._words else " " + word
-            return (shown, piece[len(word) :]) if len(word) < len(piece) else (shown,)
-        return self.parts.findall(self._restored(piece))
-
-    def _merged(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts that are split and normalised already: the library's merging alone."""
-        merge = self.tokenizer.model.tokenize
-        return [pack(f"<{len(t)}I", *[x.id for x in t]) for t in (merge(p.encode().decode("latin-1").translate(_ALPHABET)) for p in parts)]
-
-    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        parts = list(map(self._parts, pieces))
-        self.tokens.turn()
-        known = self.tokens.ensure(set(chain.from_iterable(parts)), self._merged).__getitem__
-        return [b"".join(map(known, p)) for p in parts]
+    def _merged(self, part: str) -> bytes:
+        """Ids of a part that is split and normalised already: the library's merging alone."""
+        found = self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(_ALPHABET))
+        return pack(f"<{len(found)}I", *[x.id for x in found])
+
+    def _of_base(self, base: str) -> bytes:
+        """Ids of a word, which is one part, or of a whole piece of another kind."""
+        if base.isalpha():  # so it is no contraction, and has no blank of its own
+            return self._merged(self.before + base)
+        return b"".join(map(self.tokens.__getitem__, self.parts.findall(self._restored(base))))
+
+    def _of_pieces(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces. Most are a word with marks after it; these are parts of their own."""
+        word = pc.utf8_rtrim(pieces, _MARKS)
+        plain = pc.utf8_is_alpha(word)
+        based = pc.if_else(plain, word, pieces).dictionary_encode()
+        known = pa.array(list(map(self.bases.__getitem__, _listed(based.dictionary))), pa.large_binary()).take(based.indices)
+        n_marks = np.where(plain.to_numpy(zero_copy_only=False), (pc.binary_length(pieces).to_numpy() - pc.binary_length(word).to_numpy()), 0)
+        kinds, kind = {"": 0}, np.zeros(len(pieces), np.int64)
+        at = np.flatnonzero(n_marks)
+        for k, n, piece in zip(at.tolist(), n_marks[at].tolist(), _listed(pieces.take(pa.array(at))), strict=True):
+            kind[k] = kinds.setdefault(piece[-n:], len(kinds))
+        marks = pa.array([b"", *[self.tokens[x] for x in list(kinds)[1:]]], pa.large_binary()).take(pa.array(kind))
+        return pc.binary_join_element_wise(known, marks, pa.scalar(b"", pa.large_binary()))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Distinct pieces of the whole batch are looked up once each; Arrow lays their ids out text by text."""
         has_added = self.added.search if self.added else lambda text: None
-        pieces = [[] if not x else self.split(x) if _PLAIN.fullmatch(x) and not has_added(x) else None for x in texts]
-        get = self.pieces.turn().get
-        new: set[str] = set()
-        for p in pieces:
-            if p:
-                new.update(compress(p, map(is_, map(get, p), repeat(None))))
-        known = self.pieces.ensure(new, self._of_pieces).__getitem__
-        whole = iter(self._ids([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        return [next(whole) if p is None else b"".join(map(known, p)) for p in pieces]
+        fine = [k for k, x in enumerate(texts) if x and self.split and _PLAIN.fullmatch(x) and not has_added(x)]
+        out: list[bytes] = [b""] * len(texts)
+        if fine:
+            self.bases.turn()
+            self.tokens.turn()
+            listed = self.split([texts[k] for k in fine])
+            coded = listed.flatten().dictionary_encode()
+            ids = self._of_pieces(coded.dictionary).take(coded.indices)
+            _, ends, data = ids.buffers()
+            data = memoryview(data if data is not None else b"")
+            upto = np.frombuffer(ends, np.int64)[listed.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(fine) + 1)
+            for k, first, last in zip(fine, upto, upto[1:], strict=False):
+                out[k] = bytes(data[first:last])
+        whole = sorted({k for k, x in enumerate(texts) if x}.difference(fine))
+        for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
+            out[k] = ids
+        return out
+
+
+def _listed(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 @lru_cache(maxsize=4)

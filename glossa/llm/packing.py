@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import materialize, slices
+from glossa.llm.common import materialize, sized_slices
 
 CAPACITY = 2048
 
@@ -32,7 +32,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         from glossa.llm.encoding import encoder
 
         enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, 256):
+        for batch in sized_slices(batches, 1):
             row, piece, parts = [], [], []
             for k, ids in enumerate(enc.encode_batch([x or "" for x in batch.column(1).to_pylist()])):
                 ids += end

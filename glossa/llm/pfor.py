@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import materialize, shared_path, slices
+from glossa.llm.common import materialize, shared_path, sized_slices
 
 MAGIC = b"PFR1"
 BLOCK, LANES = 256, 8
@@ -197,7 +197,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         writer = out = None
         name = f"{folder}/ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.pfr"
-        for batch in slices(batches, 256):
+        for batch in sized_slices(batches, 1):
             if writer is None:
                 where, path = pafs.FileSystem.from_uri(name)
                 where.create_dir(path.rpartition("/")[0], recursive=True)
