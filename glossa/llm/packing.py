@@ -3,8 +3,9 @@
 Documents become ids and an end id; those over the capacity are cut into full pieces. Pieces are dealt
 by a hash to groups of a bounded mean size, which pack apart: best fit in falling length, then a local
 search that moves a piece, exchanges one for one, two for one or one for two between underfull bins,
-each time raising the sum of squared fills, until the least filled bins are empty or no exchange is
-left. The pieces of bins that stay underfull in their groups meet in a second round of the same.
+each time raising the sum of squared fills, until the number of bins meets a lower bound or no exchange
+that raises the sum is left anywhere. Any underfull bin may give; nothing but these two ends the search.
+The pieces of bins that stay underfull in their groups meet in a second round of the same.
 Only lengths take part in packing; ids stay where they were made until sequences are built.
 """
 
@@ -73,97 +74,101 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, np.array(room, np.int64)
 
 
-def local_search(lengths: np.ndarray, bins: np.ndarray, room: np.ndarray, capacity: int, max_steps: int = 4000, max_failures: int = 24) -> None:
-    """Empty bins in place. ``max_steps`` and ``max_failures`` bound the search, never the pieces.
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A lower bound on the bins: for each least length that counts, pieces too large to share a bin, and the rest by volume."""
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    n, volume = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
+    half = capacity // 2
+    alpha = np.arange(half + 1)
+    alone = n[capacity] - n[half]  # over half of a bin
+    middle_n, middle_volume = n[capacity - alpha] - n[half], volume[capacity - alpha] - volume[half]
+    small = volume[half] - np.concatenate(([0], volume))[alpha]
+    return int((alone + np.maximum(0, -(-(small - (middle_n * capacity - middle_volume)) // capacity))).max(initial=0))
 
-    The donor is the least filled bin. An exchange takes ``gain`` tokens from it into a bin that has room
-    for them; as that bin is at least as full, the sum of squared fills rises.
+
+def local_search(lengths: np.ndarray, bins: np.ndarray, room: np.ndarray, capacity: int) -> None:
+    """Exchange in place until ``least_bins`` is met or no exchange raises the sum of squared fills.
+
+    Every underfull bin gives in turn, the least filled first, as long as it can; sweeps over all of them
+    go on until one changes nothing. The sum of squared fills is a rising integer, so the search ends.
     """
-    least = -(-int(lengths.sum()) // capacity)
-    used = int((room < capacity).sum())
-    failed: set[int] = set()
-    steps = 0
-    while used > least and steps < max_steps and len(failed) < max_failures:
+    least, changed = least_bins(lengths, capacity), True
+    while changed and int((room < capacity).sum()) > least:
+        changed = False
         fill = capacity - room
-        open_bins = np.flatnonzero((room > 0) & (room < capacity))
-        donor = next((int(k) for k in open_bins[np.argsort(fill[open_bins], kind="stable")] if int(k) not in failed), None)
-        if donor is None:
-            return
-        while steps < max_steps:
-            steps += 1
-            mine = np.flatnonzero(bins == donor)
-            if not len(mine):
-                break
-            if not _exchange(lengths, bins, room, donor, mine):
-                failed.add(donor)
-                break
-        if room[donor] == capacity:
-            used -= 1
-            failed.clear()  # what was moved opens new exchanges
-
-
-def _exchange(lengths: np.ndarray, bins: np.ndarray, room: np.ndarray, donor: int, mine: np.ndarray) -> bool:
-    """The best exchange out of ``donor``, done; False if there is none."""
-    fill_of_donor = lengths[mine].sum()
+        given: set[tuple[int, ...]] = set()  # lengths of bins that could give nothing since the last change
+        for donor in np.argsort(fill, kind="stable").tolist():
+            while 0 < room[donor] < capacity:
+                mine = np.flatnonzero(bins == donor)
+                what = tuple(sorted(lengths[mine].tolist()))
+                if what in given:
+                    break
+                if not _exchange(lengths, bins, room, donor, mine, capacity):
+                    given.add(what)
+                    break
+                changed = True
+                given.clear()
+            if changed and int((room < capacity).sum()) <= least:
+                return
+
+
+def _exchange(lengths: np.ndarray, bins: np.ndarray, room: np.ndarray, donor: int, mine: np.ndarray, capacity: int) -> bool:
+    """The exchange out of ``donor`` that raises the sum of squared fills most, done; False if none does.
+
+    A gain g of a bin with fill f over the donor's fill d raises the sum by 2g(f - d + g).
+    """
     others = np.flatnonzero((room[bins] > 0) & (bins != donor))
     if not len(others):
         return False
-    at, theirs = bins[others], lengths[others]
-    free = room[at]
-
-    def put(give: list[int], take: list[int], to: int) -> bool:
-        gain = int(lengths[give].sum() - lengths[take].sum())
-        bins[give], bins[take] = to, donor
-        room[to] -= gain
-        room[donor] += gain
-        return True
-
-    mine = mine[np.argsort(-lengths[mine], kind="stable")]
-    for i in mine.tolist():  # a move
-        fits = free >= lengths[i]
-        if fits.any():
-            k = int(np.where(fits, free, np.iinfo(np.int64).max).argmin())
-            return put([i], [], int(at[k]))
+    at = bins[others]
+    d = capacity - room[donor]
+    used = np.unique(at)
+    to = np.concatenate([at, used])  # one for another piece, or for nothing: a move
+    back = np.concatenate([lengths[others], np.zeros(len(used), lengths.dtype)])
+    one: dict[int, list[int]] = {}
+    by_length: dict[int, list[int]] = {}
+    for i in mine.tolist():
+        one.setdefault(int(lengths[i]), [i])
+        by_length.setdefault(int(lengths[i]), []).append(i)
+    two = dict(one)
+    sizes = sorted(by_length)
+    for k, a in enumerate(sizes):
+        for b in sizes[k:]:
+            if a != b or len(by_length[a]) > 1:
+                two.setdefault(a + b, [by_length[a][0], by_length[b][-1]])
     best, what = 0, None
-    seen: set[int] = set()
-    for i in mine.tolist():  # one for one
-        n = int(lengths[i])
-        if n in seen:
-            continue
-        seen.add(n)
-        gain = n - theirs
-        gain = np.where((gain > 0) & (gain <= free), gain, 0)
-        k = int(gain.argmax())
-        if gain[k] > best:
-            best, what = int(gain[k]), ([i], [int(others[k])], int(at[k]))
-    if what:
-        return put(*what)
-    few = mine[:12].tolist() + mine[12:][-12:].tolist()
-    for a in range(len(few)):  # two for one
-        for b in range(a + 1, len(few)):
-            gain = int(lengths[few[a]] + lengths[few[b]]) - theirs
-            gain = np.where((gain > 0) & (gain <= free), gain, 0)
-            k = int(gain.argmax())
-            if gain[k] > best:
-                best, what = int(gain[k]), ([few[a], few[b]], [int(others[k])], int(at[k]))
-    if what:
-        return put(*what)
-    wide = int(lengths.max()) + 2
-    key = at * wide + theirs
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    for n in sorted(seen, reverse=True):  # one for two
-        want = n - 1 - theirs
-        k = np.searchsorted(ordered, at * wide + np.clip(want, 0, wide - 1), "right") - 1
-        other = order[np.maximum(k, 0)]
-        gain = n - theirs - theirs[other]
-        fine = (want > 0) & (k >= 0) & (at[other] == at) & (other != np.arange(len(at))) & (gain > 0) & (gain <= free)
-        gain = np.where(fine, gain, 0)
-        k = int(gain.argmax())
-        if gain[k] > best:
-            i = next(i for i in mine.tolist() if lengths[i] == n)
-            best, what = int(gain[k]), ([i], [int(others[k]), int(others[other[k]])], int(at[k]))
-    return put(*what) if what and fill_of_donor else False
+    gives = np.array(sorted(two))
+    most = back + room[to]
+    k = np.searchsorted(gives, most, "right") - 1  # the most that fits is worth most
+    gain = np.where(k >= 0, gives[np.maximum(k, 0)] - back, 0)
+    worth = np.where(gain > 0, 2 * gain * (capacity - room[to] - d + gain), 0)
+    j = int(worth.argmax())
+    if worth[j] > 0:
+        best, what = int(worth[j]), (two[int(gives[k[j]])], [int(others[j])] if j < len(others) else [], int(to[j]))
+    if what is None:  # one for two: for each first piece the least second one that leaves room enough
+        theirs = lengths[others]
+        wide = int(capacity) + 2
+        order = np.lexsort((theirs, at))
+        key = (at * wide + theirs)[order]
+        for v, give in one.items():
+            need = np.maximum(v - room[at] - theirs, 1)
+            k = np.searchsorted(key, at * wide + need)
+            k = np.minimum(np.where(order[np.minimum(k, len(order) - 1)] == np.arange(len(at)), k + 1, k), len(order) - 1)
+            second = order[k]
+            gain = v - theirs - theirs[second]
+            fine = (at[second] == at) & (second != np.arange(len(at))) & (gain > 0) & (gain <= room[at])
+            worth = np.where(fine, 2 * gain * (capacity - room[at] - d + gain), 0)
+            j = int(worth.argmax())
+            if worth[j] > best:
+                best, what = int(worth[j]), (give, [int(others[j]), int(others[second[j]])], int(at[j]))
+    if what is None:
+        return False
+    give, take, target = what
+    net = int(lengths[give].sum() - lengths[take].sum())
+    bins[give], bins[take] = target, donor
+    room[target] -= net
+    room[donor] += net
+    return True
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,7 +184,11 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
 
 
 def _round(rows: DataFrame, n_groups: int, number: int, capacity: int) -> DataFrame:
-    """Pack each group of ``rows``; the columns in ``rows`` stay, the three of a place are set."""
+    """Pack each group of ``rows``; the columns in ``rows`` stay, the three of a place are set.
+
+    ``rows`` must be a written table: a row's group comes from its place in the files, which a task that is
+    repeated finds again, so that ids that are null or repeat do not meet in one group.
+    """
     names = [c for c in rows.columns if c not in ("sequence_id", "offset", "_fill", "_group")]
     at = names.index("length")
 
@@ -188,7 +197,7 @@ def _round(rows: DataFrame, n_groups: int, number: int, capacity: int) -> DataFr
         base = (number << 58) + (group.column("_group")[0].as_py() << 30)
         return group.select(names).append_column("sequence_id", pa.array(base + bins)).append_column("offset", pa.array(offset)).append_column("_fill", pa.array(fill))
 
-    kept = rows.select(*names, F.pmod(F.xxhash64("doc_id", "piece", F.lit(number)), F.lit(n_groups)).alias("_group"))
+    kept = rows.select(*names, F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(number)), F.lit(n_groups)).alias("_group"))
     schema = rows.select(*names).schema.add("sequence_id", "long").add("offset", "long").add("_fill", "long")
     return kept.groupBy("_group").applyInArrow(run, schema)
 
@@ -197,7 +206,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = 20_000)
     """Add ``sequence_id`` and ``offset`` to ``pieces`` (doc_id, piece, length and what else is to be carried).
 
     ``pieces`` is written once, so that what made it is not repeated. Groups have ``group_rows`` rows
-    on average, whatever the table's size; ids that repeat only share a group. An empty table gives no rows.
+    on average, whatever the table's size and its ids. An empty table gives no rows.
     """
     pieces = materialize(pieces, "pieces")
     first = materialize(_round(pieces, max(1, -(-pieces.count() // group_rows)), 0, capacity), "packed")
