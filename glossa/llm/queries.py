@@ -144,7 +144,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH docs AS (SELECT doc_id, coalesce(lang, chr(1) || 'null') AS lang, coalesce(source, chr(1) || 'null') AS source, coalesce(text, '') AS text FROM documents),
+WITH docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 split AS (
   SELECT doc_id, lang, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
     [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
@@ -173,42 +173,40 @@ m AS (
     CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END AS word_length
   FROM m
 ), long AS (
-  UNPIVOT (SELECT lang, source, symbols, dup_lines, repeats, word_length FROM v WHERE NOT base_failed)
-  ON symbols, dup_lines, repeats, word_length INTO NAME measure VALUE value
+  SELECT lang, source, x.measure AS measure, x.value AS value FROM (
+    SELECT lang, source, unnest([{'measure': 'symbols', 'value': symbols}, {'measure': 'dup_lines', 'value': dup_lines}, {'measure': 'repeats', 'value': repeats},
+      {'measure': 'word_length', 'value': word_length}, {'measure': 'words', 'value': n_words}, {'measure': 'lines', 'value': n_lines}]) AS x FROM v WHERE NOT base_failed)
 ), sketch AS (
   SELECT lang, source, measure, (value >> greatest(0, length(bin(value)) - 6)) << greatest(0, length(bin(value)) - 6) AS bucket, count(*) AS n
   FROM long GROUP BY ALL
-), levels AS (
-  SELECT lang, source, measure, bucket, n FROM sketch
-  UNION ALL SELECT lang, 'ALL', measure, bucket, sum(n) FROM sketch GROUP BY ALL
-  UNION ALL SELECT 'ALL', 'ALL', measure, bucket, sum(n) FROM sketch GROUP BY ALL
-), run AS (
-  SELECT *, sum(n) OVER g AS total, sum(n) OVER (g ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto
-  FROM levels WINDOW g AS (PARTITION BY lang, source, measure)
+), of_lang AS (SELECT lang, measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
+run AS (
+  SELECT *, sum(n) OVER g AS total, sum(n) OVER (g ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto FROM sketch WINDOW g AS (PARTITION BY lang, source, measure)
+), run_lang AS (
+  SELECT *, sum(n) OVER g AS total, sum(n) OVER (g ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto FROM of_lang WINDOW g AS (PARTITION BY lang, measure)
 ), q AS (
-  SELECT lang, source, measure, max(total) AS total,
-    min(bucket) FILTER (upto >= greatest(1, (5 * total + 99) // 100)) AS q5, min(bucket) FILTER (upto >= greatest(1, (25 * total + 99) // 100)) AS q25,
-    min(bucket) FILTER (upto >= greatest(1, (50 * total + 99) // 100)) AS q50, min(bucket) FILTER (upto >= greatest(1, (75 * total + 99) // 100)) AS q75
-  FROM run GROUP BY ALL
-), picked AS (
-  SELECT a.lang, a.source, measure,
-    CASE WHEN a.total >= 100 THEN 'source' WHEN b.total >= 100 THEN 'lang' ELSE 'all' END AS level,
-    CASE WHEN a.total >= 100 THEN a WHEN b.total >= 100 THEN b ELSE c END AS s
-  FROM q a JOIN q b USING (measure) JOIN q c USING (measure)
-  WHERE a.source <> 'ALL' AND b.lang = a.lang AND b.source = 'ALL' AND c.lang = 'ALL'
+  SELECT lang, source, measure, max(total) AS total, min(bucket) FILTER (upto >= greatest(1, (25 * total + 99) // 100)) AS q25,
+    min(bucket) FILTER (upto >= greatest(1, (50 * total + 99) // 100)) AS q50 FROM run GROUP BY ALL
+), q_lang AS (
+  SELECT lang, measure, min(bucket) FILTER (upto >= greatest(1, (25 * total + 99) // 100)) AS q25,
+    min(bucket) FILTER (upto >= greatest(1, (50 * total + 99) // 100)) AS q50 FROM run_lang GROUP BY ALL
+), mixed AS (
+  SELECT q.lang, q.source, q.measure, q.total, (q.total * q.q25 + 100 * b.q25) // (q.total + 100) AS q25, (q.total * q.q50 + 100 * b.q50) // (q.total + 100) AS q50
+  FROM q JOIN q_lang b ON q.lang IS NOT DISTINCT FROM b.lang AND q.measure = b.measure
+), wide AS (
+  SELECT lang, source, max(total) AS group_docs, max(q50) FILTER (measure = 'words') AS words, max(q50) FILTER (measure = 'lines') AS lines,
+    max(q50) FILTER (measure = 'symbols') AS s, max(q50 - q25) FILTER (measure = 'symbols') AS ds, max(q50) FILTER (measure = 'dup_lines') AS d, max(q50 - q25) FILTER (measure = 'dup_lines') AS dd,
+    max(q50) FILTER (measure = 'repeats') AS r, max(q50 - q25) FILTER (measure = 'repeats') AS dr, max(q50) FILTER (measure = 'word_length') AS w, max(q50 - q25) FILTER (measure = 'word_length') AS dw
+  FROM mixed GROUP BY lang, source
 ), limits AS (
-  SELECT lang, source, min(level) AS level,
-    max(s.q50 + greatest(8 * (s.q50 - s.q5), 150)) FILTER (measure = 'symbols') AS hs,
-    max(s.q50 + greatest(8 * (s.q50 - s.q5), 450)) FILTER (measure = 'dup_lines') AS hd,
-    max(s.q50 + greatest(8 * (s.q50 - s.q5), 450)) FILTER (measure = 'repeats') AS hr,
-    max(s.q50 + greatest(8 * (s.q75 - s.q25), 2500)) FILTER (measure = 'word_length') AS hw,
-    max(s.q50 - greatest(8 * (s.q75 - s.q25), 2500)) FILTER (measure = 'word_length') AS lw
-  FROM picked GROUP BY lang, source
+  SELECT lang, source, group_docs, s + 8 * greatest(ds, 1000 // greatest(1, words), 1) AS hs, d + 8 * greatest(dd, 1000 // greatest(1, lines), 1) AS hd,
+    r + 16 * greatest(dr, 6000 // greatest(1, words), 1) AS hr, w + 8 * greatest(dw, w // 32, 1) AS hw, w - 8 * greatest(dw, w // 32, 1) AS lw
+  FROM wide
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
   NOT base_failed AND coalesce(symbols <= hs AND dup_lines <= hd AND repeats <= hr AND word_length BETWEEN lw AND hw, true) AS kept,
-  level AS threshold_level
-FROM v LEFT JOIN limits USING (lang, source)
+  CAST(coalesce(group_docs, 0) AS BIGINT) AS group_docs
+FROM v LEFT JOIN limits ON v.lang IS NOT DISTINCT FROM limits.lang AND v.source IS NOT DISTINCT FROM limits.source
 """
 
 
