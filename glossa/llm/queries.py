@@ -51,7 +51,13 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(12 + length(role) + 1 + length(text)
     + length(regexp_extract_all(text, '[<\[]\\*(?:\||s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\])')) + 11) AS BIGINT) AS formatted_chars,
-  'turns' AS layout
+  CASE coalesce((conv_id % 5 + 5) % 5, 0) WHEN 1 THEN CASE WHEN bool_or(role IN ('human', 'gpt')) THEN 'messages' ELSE 'conversations' END
+    WHEN 2 THEN 'turns' WHEN 3 THEN 'dialog'
+    WHEN 4 THEN CASE WHEN bool_or(text = '') THEN 'messages'
+      WHEN string_agg(role, ' ' ORDER BY turn NULLS FIRST, role, text) = 'user assistant' THEN 'prompt_response'
+      WHEN string_agg(role, ' ' ORDER BY turn NULLS FIRST, role, text) = 'system user assistant' THEN 'system_prompt_response'
+      WHEN regexp_full_match(string_agg(role, ' ' ORDER BY turn NULLS FIRST, role, text), 'user assistant( user assistant)+') THEN 'prompt_history' ELSE 'messages' END
+    ELSE 'messages' END AS layout
 FROM rows GROUP BY conv_id
 """
 
