@@ -31,19 +31,32 @@ def sentences(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.posexplode(sentence_array(F.col("text"))).alias("sentence_index", "sentence"))
 
 
+def among(word: Column, listed: list[str]) -> Column:
+    """Whether a word is in a list, as one literal; null for a null word."""
+    return F.array_contains(F.split(F.lit("\t".join(listed)), "\t"), word)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+_VOWELS, _CONSONANTS = "aeiouy", "bcdfghjklmnpqrstvwxz"
+
+
 def _spelled(word: Column) -> Column:
-    """Syllables of one part by spelling; what stands before an apostrophe counts."""
+    """Syllables of one part by spelling; what stands before an apostrophe counts.
+
+    Letters become their shape, vowel or consonant; a syllable is a run of vowels. A leading y joins the vowel
+    after it or stands alone, so it needs no case of its own.
+    """
     base = F.substring_index(F.translate(F.lower(word), "’", "'"), "'", 1)
     letters = F.regexp_replace(base, "[^a-z]", "")
-    body = F.regexp_replace(letters, "^y", "")
-    runs = F.size(F.regexp_extract_all(body, F.lit("[aeiouy]+"), F.lit(0))) + F.when(letters.rlike("^y[^aeiouy]"), 1).otherwise(0)
-    less_e = runs - F.when(letters.endswith("e") & (runs > 1) & ~letters.rlike("[^aeiouy]le$"), 1).otherwise(0)
-    less_ed = less_e - F.when((less_e > 1) & letters.rlike("[^td]ed$"), 1).otherwise(0)
-    return F.greatest(F.lit(1), less_ed)
+    shape = F.concat(F.lit("c"), F.translate(letters, _VOWELS + _CONSONANTS, "v" * len(_VOWELS) + "c" * len(_CONSONANTS)))
+    runs = ((F.length(shape) - F.length(F.replace(shape, F.lit("cv"), F.lit("")))) / 2).cast("int")
+    silent_e = letters.endswith("e") & (runs > 1) & ~(letters.endswith("le") & shape.endswith("ccv") & (F.length(letters) > 2))
+    less_e = runs - F.when(silent_e, 1).otherwise(0)
+    silent_ed = (less_e > 1) & letters.endswith("ed") & ~letters.endswith("ted") & ~letters.endswith("ded")
+    return F.greatest(F.lit(1), less_e - F.when(silent_ed, 1).otherwise(0))
 
 
 def syllables(word: Column) -> Column:
@@ -53,23 +66,31 @@ def syllables(word: Column) -> Column:
     return F.when(word.rlike(r"[\-./,:]") & word.rlike(r"\p{L}"), summed).otherwise(_spelled(word))
 
 
-def word_counts(sentence_rows: DataFrame, keys: list[str], normalize: bool = True) -> DataFrame:
-    """Counts of each sentence: words, syllables, characters, polysyllables, figures.
+COUNTS = ["words", "syllables", "characters", "polysyllables", "figures"]
+
+
+def word_counts(words_: Column, normalize: bool = True) -> Column:
+    """struct of ``COUNTS`` (long) over an array of words.
 
     A figure (a word with a digit) counts one syllable and three characters when normalised.
     """
-    rows = sentence_rows.select(*keys, F.explode(words(F.col("sentence"))).alias("word"))
-    figure = F.col("word").rlike(r"\p{Nd}") if normalize else F.lit(False)
-    rows = rows.withColumn("figure", figure).withColumn("n", F.when(F.col("figure"), FIGURE_SYLLABLES).otherwise(syllables(F.col("word"))))
-    chars = F.when(F.col("figure"), FIGURE_CHARACTERS).otherwise(F.length(F.regexp_replace("word", r"[^\p{L}\p{N}]", "")))
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("words"),
-        F.sum("n").cast("long").alias("syllables"),
-        F.sum(chars).cast("long").alias("characters"),
-        one(~F.col("figure") & (F.col("n") >= 3)).alias("polysyllables"),
-        one(F.col("figure")).alias("figures"),
-    )
+
+    def measured(w: Column) -> Column:
+        figure = w.rlike(r"\p{Nd}") if normalize else F.lit(False)
+        n = F.when(figure, FIGURE_SYLLABLES).otherwise(syllables(w))
+        chars = F.when(figure, FIGURE_CHARACTERS).otherwise(F.length(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")))
+        return F.struct(n.cast("long").alias("n"), chars.cast("long").alias("c"), figure.alias("f"))
+
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in COUNTS])
+    one = lambda test: F.when(test, 1).otherwise(0).cast("long")
+
+    def added(a: Column, x: Column) -> Column:
+        return F.struct(
+            (a["words"] + 1).alias("words"), (a["syllables"] + x["n"]).alias("syllables"), (a["characters"] + x["c"]).alias("characters"),
+            (a["polysyllables"] + one(~x["f"] & (x["n"] >= 3))).alias("polysyllables"), (a["figures"] + one(x["f"])).alias("figures"),
+        )
+
+    return F.aggregate(F.transform(words_, measured), zero, added)
 
 
 def grades(words_: str = "words", sentences_: str = "sentences") -> dict[str, Column]:

@@ -30,10 +30,12 @@ VERBS = set(
     "accept address adopt allow apply approve ask assess assign audit begin block build call cause change check clear close come complete conduct confirm consider create decide defer define delay deliver deny deploy "
     "depend describe design document drop ensure evaluate expect explain fail fix follow get give go grant happen harden hold implement improve include investigate keep know launch lead leave let make manage measure mention "
     "meet merge migrate mitigate monitor move need note observe open own patch perform plan postpone prevent propose protect prove provide publish put quarantine ratify reach read receive recommend record reduce reject release rely "
+    "agree begin believe bring buy carry decline help join learn lose offer pay prepare promise raise refer save say sell serve share ship show spend stay suggest teach tell think try turn understand visit want "
     "remain remediate remove replace report require resolve restore retain return review run schedule see send set sign start state stop submit support take test track treat update use validate verify wait waive want work write".split()
 )
-IRREGULAR = {"made": "make", "took": "take", "taken": "take", "gave": "give", "given": "give", "wrote": "write", "written": "write", "built": "build", "held": "hold", "kept": "keep", "met": "meet", "sent": "send", "known": "know", "seen": "see", "begun": "begin", "began": "begin", "left": "leave", "led": "lead", "chosen": "choose", "found": "find", "ran": "run", "went": "go", "done": "do"}
+IRREGULAR = {"made": "make", "took": "take", "taken": "take", "gave": "give", "given": "give", "wrote": "write", "written": "write", "built": "build", "held": "hold", "kept": "keep", "met": "meet", "sent": "send", "known": "know", "seen": "see", "begun": "begin", "began": "begin", "left": "leave", "led": "lead", "chosen": "choose", "found": "find", "ran": "run", "went": "go", "done": "do", "said": "say", "told": "tell", "paid": "pay", "sold": "sell", "bought": "buy", "brought": "bring", "lost": "lose", "shown": "show", "spent": "spend", "thought": "think", "understood": "understand"}
 NUMBERS = set("one two three four five six seven eight nine ten".split())
+GREEK = set("analyses crises diagnoses emphases hypotheses parentheses syntheses theses".split())
 ADJ_ENDS = ("able", "ible", "ful", "less", "ous", "ive", "ical", "al", "ic")
 
 
@@ -55,6 +57,8 @@ def verb_lemma(word: str) -> str | None:
 
 
 def noun_lemma(word: str) -> str:
+    if word in GREEK:
+        return word[:-2] + "is"
     if word.endswith("ies") and len(word) > 4:
         return word[:-3] + "y"
     if word.endswith(("ches", "shes", "sses", "xes")):
@@ -98,6 +102,7 @@ def annotate(sentence: str) -> list[dict]:
             t["pos"], t["lemma"] = "ADJ", w
         elif base and not after_noun_cue and not (w.endswith("ing") and before is not None and before["pos"] not in ("AUX", "PART")):
             verbal = before is None or before["pos"] in ("AUX", "PART", "ADV", "PRON", "CCONJ", "PUNCT", "SCONJ") or w.endswith(("ed", "s")) or w in IRREGULAR
+            verbal = verbal or before["pos"] == "NOUN" and before["low"] != before["lemma"]  # a plural before a base form is its subject
             t["pos"], t["lemma"] = ("VERB", base) if verbal else ("NOUN", noun_lemma(w))
         elif w.endswith(ADJ_ENDS) and i + 1 < n and any(c.isalnum() for c in toks[i + 1]["text"]) and toks[i + 1]["low"] not in DET | ADP | CONJ | BE | set(MODAL):
             t["pos"], t["lemma"] = "ADJ", w

@@ -45,18 +45,25 @@ def punctuation_depth(s: Column) -> Column:
     return 2 * F.floor(_count(s, "()[]") / 2) + 2 * _count(s, ";") + _count(s, "—–") + F.greatest(F.lit(0), _count(s, ",") - 2)
 
 
-def measured(sent: DataFrame) -> DataFrame:
+def is_nominal(word: Column, profile: P.Profile) -> Column:
+    """Abstract action nouns: listed ones and those with a listed ending, but for the exclusions; a plural counts as its singular."""
+    one = F.when(F.length(word) > 4, F.regexp_replace(word, "s$", "")).otherwise(word)
+    excluded, named = profile.words("nominalization_exclusions"), profile.words("nominalizations")
+    ending = "(?:" + "|".join(profile.words("nominalization_suffixes")) + ")$"
+    return ~X.among(word, excluded) & ~X.among(one, excluded) & (X.among(word, named) | X.among(one, named) | one.rlike(ending))
+
+
+def measured(sent: DataFrame, profile: P.Profile) -> DataFrame:
     """Sentences with the numbers and lists that the rules of one sentence look at."""
     s = F.col("sentence")
     rows = sent.withColumn("_w", F.transform(X.words(s), F.lower))
-    singular = lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, "s$", "")).otherwise(w)
-    flags = F.transform("_w", lambda w: w.isin(P.QUALIFIERS))
+    flags = F.transform("_w", lambda w: X.among(w, profile.words("qualifiers")))
     return rows.withColumns(
         {
             "_depth": punctuation_depth(s),
-            "_nominal": F.size(F.filter("_w", lambda w: singular(w).rlike("^[a-z]{3,}(?:" + "|".join(P.NOMINAL_SUFFIXES) + ")$"))),
+            "_nominal": F.size(F.filter("_w", lambda w: is_nominal(w, profile))),
             "_items": F.when(s.contains(","), F.size(F.filter(F.split(s, r",| and | or "), lambda x: x.rlike(r"[\p{L}\p{N}]")))).otherwise(0),
-            "_terms": F.filter(F.regexp_extract_all(F.lower(s), F.lit(HYPHENATED), F.lit(0)), lambda x: ~x.isin(P.ALLOWED_COMPOUNDS)),
+            "_terms": F.filter(F.regexp_extract_all(F.lower(s), F.lit(HYPHENATED), F.lit(0)), lambda x: ~x.isin(profile.words("allowed_compounds"))),
             "_q": flags,
             "_line": _lemma_line(F.col("_w")),
         }
@@ -88,7 +95,7 @@ def compound_rules(profile: P.Profile) -> dict[str, Column]:
         parts = F.size(F.split(x, "-"))
         three = _finding("COMPOUND", "lexical_clarity", parts, 0, _fixed(6), "medium")
         two = _finding("COMPOUND", "lexical_clarity", parts, 0, _fixed(4), "low")
-        return F.when((parts >= 3) & (parts <= most), three).when((parts == 2) & F.substring_index(x, "-", -1).isin(P.COMPOUND_MODIFIERS), two)
+        return F.when((parts >= 3) & (parts <= most), three).when((parts == 2) & F.substring_index(x, "-", -1).isin(profile.words("compound_modifier_suffixes")), two)
 
     return {
         "COMPOUND-DEPTH": F.transform("_terms", lambda x: _finding("COMPOUND-DEPTH", "morphology", F.size(F.split(x, "-")), most, _capped(10, 3))),
@@ -105,23 +112,28 @@ def acronyms(df: DataFrame, text: str) -> DataFrame:
 def acronym_rule(docs: DataFrame, sent: DataFrame, profile: P.Profile) -> DataFrame:
     """Acronyms neither known nor defined in parentheses anywhere in the document, by sentence."""
     defined = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\(([A-Z]{2,8})s?\)"), F.lit(1))).alias("acronym")).distinct()
-    used = acronyms(sent, "sentence").filter(~F.col("acronym").isin(P.KNOWN_ACRONYMS)).join(defined, ["doc_id", "acronym"], "left_anti")
+    used = acronyms(sent, "sentence").filter(~F.col("acronym").isin(profile.rules["known_acronyms"])).join(defined, ["doc_id", "acronym"], "left_anti")
     counted = used.groupBy("doc_id", "sentence_index").agg(F.count("*").alias("n"))
     return _rows(counted, F.array(_finding("ABBREVIATION", "lexical_clarity", F.col("n"), profile.thresholds["max_undefined_acronyms_per_sentence"], _capped(12, 3))))
 
 
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, paragraph_index, paragraph): what blank lines part."""
+    return docs.select("doc_id", F.posexplode(F.split("text", r"\n[ \t]*\n")).alias("paragraph_index", "paragraph"))
+
+
 def paragraph_rule(docs: DataFrame, profile: P.Profile) -> DataFrame:
-    """Paragraphs (parted by blank lines) with too many words; sentence_index is the paragraph's number."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", r"\n[ \t]*\n")).alias("sentence_index", "paragraph"))
-    counted = parts.withColumn("n", F.size(X.words(F.col("paragraph"))))
+    """Paragraphs with too many words; such findings have no sentence."""
+    counted = paragraphs(docs).withColumn("n", F.size(X.words(F.col("paragraph")))).withColumn("sentence_index", F.lit(None).cast("int"))
     return _rows(counted, F.array(_finding("STRUCTURE", "structure", F.col("n"), profile.thresholds["max_paragraph_words"], _capped(20, 0.75))))
 
 
-def repeated_words_rule(sent: DataFrame, profile: P.Profile) -> DataFrame:
-    """Content words of seven letters and more that a document repeats; at the first sentence with one."""
-    w = sent.select("doc_id", "sentence_index", F.explode(F.transform(X.words(F.col("sentence")), F.lower)).alias("word"))
+def repeated_words_rule(docs: DataFrame, profile: P.Profile) -> DataFrame:
+    """Content words of seven letters and more that a paragraph repeats, or, if the policy says so, the document."""
+    keys = ["doc_id", "word"] if profile.flag("count_repetition_across_blocks") else ["doc_id", "paragraph_index", "word"]
+    w = paragraphs(docs).select("doc_id", "paragraph_index", F.explode(F.transform(X.words(F.col("paragraph")), F.lower)).alias("word"))
     w = w.filter((F.length("word") >= 7) & ~F.col("word").isin(P.STOP_LEMMAS) & F.col("word").rlike(r"^\p{L}+$"))
-    counted = w.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("sentence_index").alias("sentence_index"))
+    counted = w.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("sentence_index", F.lit(None).cast("int"))
     return _rows(counted, F.array(_finding("REDUNDANCY", "redundancy", F.col("n"), profile.thresholds["max_repeated_content_word"], _capped(10, 2), "low")))
 
 
@@ -168,22 +180,23 @@ def qualifier_rule(profile: P.Profile) -> Column:
 
 def local_rules(profile: P.Profile, phrases: dict[str, list[str]] | None = None) -> dict[str, Column]:
     """All rules that need one sentence alone, as columns over ``measured``."""
-    return {**sentence_rules(profile), **compound_rules(profile), "FILLER": filler_rule(phrases or P.FILLER_PHRASES), "QUALIFIER": qualifier_rule(profile)}
+    return {**sentence_rules(profile), **compound_rules(profile), "FILLER": filler_rule(phrases or profile.phrases("filler_phrases")), "QUALIFIER": qualifier_rule(profile)}
 
 
 def local_findings(docs: DataFrame, profile: P.Profile, rules: list[str] | None = None, phrases: dict[str, list[str]] | None = None) -> DataFrame:
     """Findings of the rules of one sentence: one scan, no shuffle."""
     found = local_rules(profile, phrases)
-    return _rows(measured(X.sentences(docs, ["doc_id"])), *[found[r] for r in rules or found])
+    return _rows(measured(X.sentences(docs, ["doc_id"]), profile), *[found[r] for r in rules or found])
 
 
 def findings(docs: DataFrame, profile: P.Profile) -> DataFrame:
-    """Findings of R1, R4, R5, R7, R15 to R18, R20, R21 and R24: one scan for the local rules, one for each that groups.
+    """Findings of the rules that need words alone: R1, R4, R5, R7, R15 to R18, R20, R21 and R24.
 
-    The other rules are not in it (README lists them) and none here has the dimension "agency".
+    One scan for the local rules, one for each that groups. None here has the dimension "agency";
+    ``analysis.findings`` has all rules, over annotated tokens.
     """
     sent = X.sentences(docs, ["doc_id"])
-    parts = [local_findings(docs, profile), acronym_rule(docs, sent, profile), paragraph_rule(docs, profile), repeated_words_rule(sent, profile)]
+    parts = [local_findings(docs, profile), acronym_rule(docs, sent, profile), paragraph_rule(docs, profile), repeated_words_rule(docs, profile)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as X
 
-_COUNTS = ["words", "syllables", "characters", "polysyllables", "figures"]
+_COUNTS = X.COUNTS
 
 
 def sentence_counts(docs: DataFrame, normalize: bool = True) -> DataFrame:
-    """(doc_id, sentence_index, counts) of sentences that have a word."""
-    return X.word_counts(X.sentences(docs, ["doc_id"]), ["doc_id", "sentence_index"], normalize)
+    """(doc_id, sentence_index, counts) of sentences that have a word; words stay arrays, nothing is shuffled."""
+    rows = X.sentences(docs, ["doc_id"]).select("doc_id", "sentence_index", X.words(F.col("sentence")).alias("w")).filter(F.size("w") > 0)
+    return rows.select("doc_id", "sentence_index", X.word_counts(F.col("w"), normalize).alias("n")).select("doc_id", "sentence_index", "n.*")
 
 
 def sentence_grades(docs: DataFrame) -> DataFrame:
@@ -20,14 +21,21 @@ def sentence_grades(docs: DataFrame) -> DataFrame:
     return counts.select("doc_id", F.col("sentence_index").cast("int").alias("sentence_index"), *_COUNTS, *[v.alias(k) for k, v in X.grades().items()])
 
 
-def document_grades(docs: DataFrame, normalize: bool = True) -> DataFrame:
-    """Counts summed over sentences, and the six estimates.
+def _document_counts(docs: DataFrame, keep: list[str], normalize: bool) -> DataFrame:
+    """``keep`` columns, sentences and counts of each row's text: no row is made for a word or a sentence."""
+    said = F.filter(F.transform(X.sentence_array(F.col("text")), X.words), lambda w: F.size(w) > 0)
+    rows = docs.select(*keep, said.alias("said")).filter(F.size("said") > 0)
+    return rows.select(*keep, F.size("said").cast("long").alias("sentences"), X.word_counts(F.flatten("said"), normalize).alias("n")).select(*keep, "sentences", "n.*")
 
-    Documents without a word have no row. The sum goes straight from words to (document, sentence) and
-    to documents; both steps hash on doc_id first, so that the rows move once.
+
+def document_grades(docs: DataFrame, normalize: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Counts summed over sentences, and the six estimates; documents without a word have no row.
+
+    Rows of one id are one document. Only rows of counts are shuffled, one a document.
     """
-    total = sentence_counts(docs, normalize).groupBy("doc_id").agg(F.count("*").alias("sentences"), *[F.sum(c).alias(c) for c in _COUNTS])
-    return total.select("doc_id", "sentences", *_COUNTS, *[v.alias(k) for k, v in X.grades().items()])
+    names = ["doc_id", *(keep or [])]
+    total = _document_counts(docs, names, normalize).groupBy(*names).agg(*[F.sum(c).alias(c) for c in ["sentences", *_COUNTS]])
+    return total.select(*names, "sentences", *_COUNTS, *[v.alias(k) for k, v in X.grades().items()])
 
 
 def grade_findings(docs: DataFrame, max_grade: float = 8.0, min_words: int = 5) -> DataFrame:
@@ -42,7 +50,7 @@ def grade_findings(docs: DataFrame, max_grade: float = 8.0, min_words: int = 5)
 
 def grades_by_source(docs: DataFrame) -> DataFrame:
     """Rollup of document grades over (lang, source)."""
-    rows = document_grades(docs).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    rows = document_grades(docs, keep=["lang", "source"])
     return rows.rollup("lang", "source").agg(
         F.count("*").alias("documents"), F.sum("words").alias("words"), F.sum("sentences").alias("sentences"), F.round(F.min("flesch_kincaid"), 2).alias("least_grade"), F.round(F.max("flesch_kincaid"), 2).alias("most_grade")
     )

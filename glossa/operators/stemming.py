@@ -1,68 +1,51 @@
-"""Action stems: suffix rules applied until nothing changes, for nouns and verbs of one action."""
+"""Action stems as one column expression: a table of endings, applied until nothing changes.
+
+Each row of the table is a pattern with its replacement and the tidying of what is left; the first row that
+leaves ``LEAST`` letters wins. The fold takes as many rounds as a word has letters, as every round that changes
+a word shortens it or drops an ending for good. All of it runs inside the JVM.
+"""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LEAST = 4
-_VOWELS = "aeiou"
-#: Endings after which a gerund's base regains its "e", and suffixes with what replaces them.
-_REGAIN_E = ("ag", "dg", "c", "v", "u", "bl", "dl", "gl", "kl", "pl", "sl", "tl", "zl")
-_SUFFIXES = [("ification", "if"), ("ization", "iz"), ("isation", "iz"), ("ation", "at"), ("lution", "lv"), ("ction", "c")]
-
-
-def _undoubled(word: str) -> str:
-    return word[:-1] if len(word) > 2 and word[-1] == word[-2] and word[-1] not in _VOWELS else word
-
-
-def _once(word: str) -> str:
-    """The first rule that leaves enough letters."""
-    options: list[str] = []
-    if word.endswith("ing"):
-        base = _undoubled(word[:-3])
-        if len(base) >= 3:
-            options.append(base + "e" if base.endswith(_REGAIN_E) else base)
-    options += [word[: -len(a)] + b for a, b in _SUFFIXES if word.endswith(a)]
-    if word.endswith("sion") and len(word) > 4 and word[-5] in _VOWELS:
-        options.append(word[:-4] + "s")
-    if word.endswith("tion"):
-        options.append(word[:-4] + "t")
-    if word.endswith("ment"):
-        options.append(word[:-4])
-    if word.endswith(("ance", "ence")):
-        options.append(_undoubled(word[:-4]))
-    if word.endswith("ure"):
-        options.append(word[:-3])
-    if word.endswith("al"):
-        options.append(word[:-2])
-    if word.endswith(("ide", "ude")) and not word.endswith("uide"):
-        options.append(word[:-2] + "s")
-    if word.endswith("ct"):
-        options.append(word[:-1])
-    if len(word) > 1 and word.endswith("y") and word[-2] not in _VOWELS:
-        options.append(word[:-1])
-    if word.endswith("e"):
-        options.append(word[:-1])
-    return next((x for x in options if len(x) >= LEAST), word)
-
-
-def action_stem(word: str) -> str:
-    """The fixed point of the rules on a lower-case word."""
-    word = word.lower()
-    while (shorter := _once(word)) != word:
-        word = shorter
-    return word
+_SINGLE = (r"([^aeiou])\1$", "$1")
+_SILENT_E = (r"(ag|dg|c|v|u|[bdgkpstz]l)$", "$1e")
+#: Pattern, replacement, tidying; in order of precedence.
+ENDINGS: list[tuple[str, str, list[tuple[str, str]]]] = [
+    (r"(?<=...)ing$", "", [_SINGLE, _SILENT_E]),
+    (r"ification$", "if", []),
+    (r"i[zs]ation$", "iz", []),
+    (r"ation$", "at", []),
+    (r"lution$", "lv", []),
+    (r"ction$", "c", []),
+    (r"(?<=[aeiou])sion$", "s", []),
+    (r"tion$", "t", []),
+    (r"ment$", "", []),
+    (r"[ae]nce$", "", [_SINGLE]),
+    (r"ure$", "", []),
+    (r"al$", "", []),
+    (r"((?<!u)i|u)de$", "$1s", []),
+    (r"ct$", "c", []),
+    (r"(?<=[^aeiou])y$", "", []),
+    (r"e$", "", []),
+]
+
+
+def _shorter(word: Column) -> Column:
+    """The first row's result that is long enough, else the word."""
+    options = []
+    for pattern, replacement, tidying in ENDINGS:
+        left = F.regexp_replace(word, pattern, replacement)
+        for again, by in tidying:
+            left = F.regexp_replace(left, again, by)
+        options.append(F.when(word.rlike(pattern) & (F.length(left) >= LEAST), left))
+    return F.coalesce(*options, word)
 
 
 def stem(word: Column) -> Column:
-    """``action_stem`` of a column; each batch stems its distinct words once."""
-
-    @F.arrow_udf("string")
-    def stems(words: pa.Array) -> pa.Array:
-        coded = words.dictionary_encode()
-        table = pa.array([None if w is None else action_stem(w) for w in coded.dictionary.to_pylist()], pa.string())
-        return table.take(coded.indices)
-
-    return stems(word)
+    """The fixed point of the table on the word in lower case; null stays null."""
+    low = F.lower(word)
+    return F.when(low.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), low, lambda w, _: _shorter(w)))

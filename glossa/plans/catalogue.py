@@ -45,8 +45,10 @@ FROM ({O.document_grades()}) JOIN documents USING (doc_id) GROUP BY ROLLUP (lang
 # --- findings and scores over documents -------------------------------------------------------------
 
 from glossa.functions import text as X  # noqa: E402
+from glossa.operators import analysis  # noqa: E402
 from glossa.operators import findings as D  # noqa: E402
 from glossa.operators import meaning as M  # noqa: E402
+from glossa.operators.blocks import block_counts, blocks  # noqa: E402
 from glossa.operators import scoring as S  # noqa: E402
 from glossa.sources import profiles as P  # noqa: E402
 
@@ -65,7 +67,7 @@ for (_name, _rule), _oracle in zip(_LOCAL.items(), [*O.sentence_rules(USUAL), *O
 register("st16_hyphen_terms", lambda s, d: D.hyphen_terms(_sentences(s, d)), O.hyphen_terms())
 register("r16_undefined_acronyms", lambda s, d: D.acronym_rule(english(s, d), _sentences(s, d), USUAL), O.acronym_rule(USUAL))
 register("r17_long_paragraphs", lambda s, d: D.paragraph_rule(english(s, d), USUAL), O.paragraph_rule(USUAL))
-register("r20_repeated_words", lambda s, d: D.repeated_words_rule(_sentences(s, d), USUAL), O.repeated_words_rule(USUAL))
+register("r20_repeated_words", lambda s, d: D.repeated_words_rule(english(s, d), USUAL), O.repeated_words_rule(USUAL))
 register("r21_filler_phrases", lambda s, d: D.local_findings(english(s, d), USUAL, ["FILLER"], DATA_PHRASES), O.filler_rule(DATA_PHRASES))
 register("r26_phrase_matches", lambda s, d: D.phrase_counts(_sentences(s, d), DATA_PHRASES), O.phrase_counts(DATA_PHRASES))
 register("r24_qualifiers", lambda s, d: D.local_findings(english(s, d), USUAL, ["QUALIFIER"]), O.qualifier_rule(USUAL))
@@ -81,7 +83,7 @@ register("a1_score_components", lambda s, d: S.components(english(s, d), D.findi
 register(
     "c16_ranked_findings",
     lambda s, d: S.ranked(D.findings(english(s, d), USUAL)),
-    f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, sentence_index, rule_id, observed, penalty) AS rank
+    f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, sentence_index NULLS FIRST, rule_id, observed, penalty) AS rank
 FROM ({O.findings(USUAL)})""",
 )
 register(
@@ -149,8 +151,13 @@ register("r2_r3_document_sentence_loads", lambda s, d: inline.D.sentence_loads(a
 register("r6_document_noun_stacks", lambda s, d: inline.D.noun_stacks(annotated(_sentences(s, d))))
 register("r9_document_agentless_decisions", lambda s, d: inline.D.agentless_decisions(annotated(_sentences(s, d))))
 register("r10_document_passive_verbs", lambda s, d: inline.D.passive_verbs(annotated(_sentences(s, d))))
-register("r19_document_mixed_purposes", lambda s, d: inline.U.mixed_purposes(_sentences(s, d)))
-register("r22_document_duplicated_recommendations", lambda s, d: inline.U.duplicated_recommendations(_sentences(s, d)))
+register("r19_document_mixed_purposes", lambda s, d: inline.U.mixed_purposes(_sentences(s, d)), inline.mixed_sql(f"({O.sentences()})"))
+register("r22_document_duplicated_recommendations", lambda s, d: inline.U.duplicated_recommendations(_sentences(s, d)), inline.twice_sql(f"({O.sentences()})"))
+#: All rules over annotated documents; the fixture query of the same operator has labelled rows.
+register("r29_all_findings", lambda s, d: analysis.findings(english(s, d), USUAL))
+register("r28_sentence_records", lambda s, d: analysis.sentence_records(english(s, d)))
+register("a3_all_score_architecture_review", lambda s, d: S.scores(S.components(english(s, d), analysis.findings(english(s, d), USUAL), USUAL), USUAL))
+register("st8_block_counts", lambda s, d: block_counts(blocks(english(s, d), ["doc_id"]), "doc_id"))
 for _name, (_query, _oracle) in inline.QUERIES.items():
     register(_name, _query, _oracle)
 register(

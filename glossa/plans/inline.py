@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.operators import analysis
 from glossa.operators import claims as C
 from glossa.operators import dependencies as D
 from glossa.operators import meaning as M
@@ -15,7 +16,11 @@ from glossa.operators import purposes as U
 from glossa.operators import stemming
 from glossa.operators.annotate import tokens as annotated
 from glossa.operators.blocks import blocks
+from glossa.plans import fixture
 from glossa.plans import oracles as O
+from glossa.sources import profiles as P
+
+_USUAL = P.load_profile()
 
 TOKENS = [  # doc_id, sentence_index, index, text, lemma, pos, dep, head
     (1, 0, 0, "The", "the", "DET", "det", 1), (1, 0, 1, "decision", "decision", "NOUN", "nsubjpass", 4), (1, 0, 2, "must", "must", "AUX", "aux", 4), (1, 0, 3, "be", "be", "AUX", "auxpass", 4),
@@ -143,26 +148,65 @@ FROM (SELECT *, CASE WHEN last IN ('%', 'percent') THEN 'percent' WHEN one IN ({
   replace(regexp_extract(q, '\\d[\\d,]*(?:\\.\\d+)?'), ',', '') AS digits, CASE {_WORD} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in M.NUMBERS.items())} ELSE '' END AS named
   FROM (SELECT phrase, lower(trim(phrase)) AS q FROM {values([(q,) for q in QUANTITIES], 'phrase')}))))"""
 
+# What the queries without SQL must give, stated by hand.
+BLOCKS = [
+    (1, 0, "heading", 0, 7, "# Title"), (1, 1, "prose", 9, 26, "Prose that\nwraps."), (1, 2, "list_item", 28, 33, "- one"), (1, 3, "list_item", 34, 46, "- two\n  more"), (1, 4, "blockquote", 48, 55, "> quote"),
+    (1, 5, "code", 57, 73, "```\ncode | x\n```"), (1, 6, "table", 75, 104, "| a | b |\n|---|---|\n| 1 | 2 |"), (1, 7, "rule", 106, 109, "---"), (1, 8, "heading", 110, 117, "End\n==="),
+    (2, 0, "code", 0, 12, "    indented"), (2, 1, "html", 14, 28, "<div>\nx\n</div>"), (2, 2, "list_item", 30, 37, "1) item"), (2, 3, "prose", 41, 45, "last"),
+]
+STEMMED = list(zip(STEMS, ["ratif", "ratif", "authoriz", "authoriz", "decis", "decis", "connec", "connec", "provis", "logging", "deploy", "approv", "clos", "resolv", "resolv"], strict=True))
+
+
+def _claim(action: str, actor: str, target: str, modality: str = "must", polarity: str = "positive") -> str:
+    return f"claim:action={action};actor={actor};modality={modality};polarity={polarity};status=asserted;target={target}"
+
+
+COMPARED = [
+    (1, "equivalent", "", "", 0), (2, "changed", _claim("verif", "unspecified", "2 data loss outstanding hypothesis"), _claim("verif", "unspecified", "3 data loss outstanding hypothesis"), 0),
+    (3, "changed", "order:earlier=audit finding;later=design", "order:earlier=design;later=audit finding", 0),
+    (4, "changed", _claim("resolv", "platform team", "authorization gap"), _claim("resolv", "unspecified", "authorization gap"), 0), (5, "equivalent", "", "", 1), (6, "equivalent", "", "", 0),
+    (7, "changed", _claim("quarantin", "operator", "cache"), _claim("quarantin", "operator", "cache", polarity="negative"), 0), (8, "equivalent", "", "", 0),
+    (9, "changed", _claim("quarantin", "operator", "cache"), _claim("quarantin", "operator", "cache", "should"), 0),
+]
+_ONE_CLAUSE = [(1, 0, "platform team", "resolv", "authorization gap"), (2, 0, "unspecified", "verif", "2 data loss outstanding hypothesis"), (4, 0, "platform team", "resolv", "authorization gap"), (5, 0, "unspecified", "resolv", "authorization gap"), (6, 0, "operator", "quarantin", "cache"), (7, 0, "operator", "quarantin", "cache"), (8, 0, "unspecified", "resolv", "outage"), (9, 0, "operator", "quarantin", "cache")]
+CLAIMED = [(*c, "must", "positive", "asserted") for c in _ONE_CLAUSE]
+
+
 def advice(s: SparkSession) -> DataFrame:
     return s.createDataFrame(ADVICE, "doc_id int, sentence_index int, sentence string")
 
 
 _A = values(ADVICE, "doc_id, sentence_index, sentence")
 _LEMMAS = f"list_transform({O.lowered_words()}, lambda w: CASE WHEN w IN ('am', 'is', 'are', 'was', 'were', 'been', 'being') THEN 'be' WHEN w IN ('has', 'had', 'having') THEN 'have' ELSE w END)"
-_LABELS = ", ".join("CASE WHEN " + " OR ".join(f"contains(line, ' {m} ')" for m in ms) + f" THEN '{k}' END" for k, ms in sorted(U.PURPOSES.items()))
-_MIXED = f"""SELECT doc_id, sentence_index, CAST(len(l) AS INTEGER) AS n, array_to_string(l, ', ') AS labels, CAST(least(14.0, (len(l) - 2) * 4.0) AS DOUBLE) AS penalty
-FROM (SELECT *, list_filter([{_LABELS}], lambda x: x IS NOT NULL) AS l FROM (SELECT *, ' ' || array_to_string({_LEMMAS}, ' ') || ' ' AS line FROM {_A})) WHERE len(l) > 2"""
-_GROUPS = ", ".join(f"CASE WHEN list_has_any(w, [{O.quoted(vs)}]) THEN '{k}' END" for k, vs in sorted(U.ACTION_GROUPS.items()))
-_KNOWN = O.quoted([v for vs in U.ACTION_GROUPS.values() for v in vs] + U.STOP_LEMMAS + U.DIRECTIVES)
-_TWICE = f"""WITH r AS (SELECT doc_id, sentence_index, w FROM (SELECT *, {_LEMMAS} AS w FROM {_A}) WHERE list_has_any(w, [{O.quoted(U.DIRECTIVES)}])),
+_LABELS = ", ".join("CASE WHEN " + " OR ".join(f"contains(line, ' {m} ')" for m in ms) + f" THEN '{k}' END" for k, ms in sorted(_USUAL.phrases('purpose_markers').items()))
+
+
+def mixed_sql(source: str) -> str:
+    return f"""SELECT doc_id, sentence_index, CAST(len(l) AS INTEGER) AS n, array_to_string(l, ', ') AS labels, CAST(least(14.0, (len(l) - 2) * 4.0) AS DOUBLE) AS penalty
+FROM (SELECT *, list_filter([{_LABELS}], lambda x: x IS NOT NULL) AS l FROM (SELECT *, ' ' || array_to_string({_LEMMAS}, ' ') || ' ' AS line FROM {source})) WHERE len(l) > 2"""
+
+
+_GROUPS = ", ".join(f"CASE WHEN list_has_any(w, [{O.quoted(vs)}]) THEN '{k}' END" for k, vs in sorted(_USUAL.phrases('recommendation_action_groups').items()))
+_KNOWN = O.quoted([v for vs in _USUAL.phrases('recommendation_action_groups').values() for v in vs] + P.STOP_LEMMAS + U.DIRECTIVES)
+
+
+def twice_sql(source: str) -> str:
+    return f"""WITH r AS (SELECT doc_id, sentence_index, w FROM (SELECT *, {_LEMMAS} AS w FROM {source}) WHERE list_has_any(w, [{O.quoted(U.DIRECTIVES)}])),
 g AS (SELECT doc_id, sentence_index, w, unnest(list_filter([{_GROUPS}], lambda x: x IS NOT NULL)) AS action_group FROM r),
 k AS (SELECT doc_id, sentence_index, action_group, unnest(list_distinct(list_filter(w, lambda x: length(x) >= 5 AND x NOT IN ({_KNOWN})))) AS term FROM g),
 p AS (SELECT b.doc_id, b.sentence_index, a.sentence_index AS earlier, action_group FROM k a JOIN k b USING (doc_id, action_group, term) WHERE a.sentence_index < b.sentence_index)
 SELECT doc_id, sentence_index, min(earlier) AS earlier, arg_min(action_group, (earlier, action_group)) AS action_group FROM p GROUP BY ALL"""
 
+
+def _fixture_findings(s: SparkSession) -> DataFrame:
+    docs = s.createDataFrame(list(fixture.TEXTS.items()), "doc_id int, text string")
+    found = analysis.findings(docs, _USUAL).join(docs, "doc_id")
+    return found.select("doc_id", "rule_id", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("excerpt"))
+
+
 QUERIES = {
-    "r19_mixed_purposes": (lambda s, d: U.mixed_purposes(advice(s)), _MIXED),
-    "r22_duplicated_recommendations": (lambda s, d: U.duplicated_recommendations(advice(s)), _TWICE),
+    "r19_mixed_purposes": (lambda s, d: U.mixed_purposes(advice(s)), mixed_sql(_A)),
+    "r22_duplicated_recommendations": (lambda s, d: U.duplicated_recommendations(advice(s)), twice_sql(_A)),
     "r10_passive_verbs": (lambda s, d: D.passive_verbs(tokens(s)), _PASSIVE),
     "r9_agentless_decisions": (
         lambda s, d: D.agentless_decisions(tokens(s)),
@@ -214,12 +258,19 @@ FROM (SELECT *, source_words + CAST(greatest(12, ceil(source_words * 10 / 100))
         f"""SELECT source_id, coalesce(min(index) FILTER (accepted) + 1, count(*)) AS attempts, coalesce(min(index) FILTER (accepted), -1) AS accepted_index
 FROM {values(ATTEMPTS, 'source_id, index, accepted')} WHERE index < 3 GROUP BY source_id""",
     ),
-    "m13_claims": (
-        lambda s, d: C.claims(annotated(s.createDataFrame([(i, 0, t) for i, t, _ in TEXT_PAIRS], "doc_id int, sentence_index int, sentence string"))),
-        None,
+    "m13_claims": (  # the third text has two clauses and is part of c0 alone
+        lambda s, d: C.claims(annotated(s.createDataFrame([(i, 0, t) for i, t, _ in TEXT_PAIRS if i != 3], "doc_id int, sentence_index int, sentence string"))).drop("index"),
+        f"SELECT * FROM {values(CLAIMED, 'doc_id, sentence_index, actor, action, target, modality, polarity, status')}",
+    ),
+    "c0_compared_texts": (
+        lambda s, d: C.compare_texts(s.createDataFrame(TEXT_PAIRS, "pair_id int, source string, candidate string")),
+        f"SELECT pair_id, disposition, missing, added, CAST(specified AS BIGINT) AS specified FROM {values(COMPARED, 'pair_id, disposition, missing, added, specified')}",
+    ),
+    "m18_action_stems": (lambda s, d: s.createDataFrame([(w,) for w in STEMS], "word string").select("word", stemming.stem(F.col("word")).alias("stem")), f"SELECT * FROM {values(STEMMED, 'word, stem')}"),
+    "st1_blocks": (lambda s, d: blocks(s.createDataFrame(MARKDOWN, "doc_id int, text string"), ["doc_id"]), f"""SELECT * FROM {values(BLOCKS, 'doc_id, block_index, kind, start, "end", text')}"""),
+    "r29_fixture_findings": (
+        lambda s, d: _fixture_findings(s),
+        f"SELECT doc_id, 'LING-' || rule || '-001' AS rule_id, excerpt FROM {values(fixture.EXPECTED, 'doc_id, rule, excerpt')}",
     ),
-    "c0_compared_texts": (lambda s, d: C.compare_texts(s.createDataFrame(TEXT_PAIRS, "pair_id int, source string, candidate string")), None),
-    "m18_action_stems": (lambda s, d: s.createDataFrame([(w,) for w in STEMS], "word string").select("word", stemming.stem(F.col("word")).alias("stem")), None),
-    "st1_blocks": (lambda s, d: blocks(s.createDataFrame(MARKDOWN, "doc_id int, text string"), ["doc_id"]), None),
     "st1_conversation_blocks": (lambda s, d: blocks(s.read.parquet(f"{d}/conversations.parquet"), ["conv_id", "turn"]), None),
 }

@@ -101,13 +101,14 @@ def lowered_words(column: str = "sentence") -> str:
 
 
 def sentence_rules(profile) -> list[str]:
-    from glossa.sources import profiles as P
-
     t, s = profile.thresholds, sentences()
     w = f"SELECT *, {lowered_words()} AS w FROM ({s})"
     depth = f"2 * ({_chars('()[]')} // 2) + 2 * {_chars(';')} + {_chars('—–')} + greatest(0, {_chars(',')} - 2)"
-    pattern = "^[a-z]{3,}(?:" + "|".join(P.NOMINAL_SUFFIXES) + ")$"
-    nominal = f"len(list_filter(w, lambda x: regexp_matches(CASE WHEN length(x) > 4 THEN regexp_replace(x, 's$', '') ELSE x END, '{pattern}')))"
+    one = "CASE WHEN length(x) > 4 THEN regexp_replace(x, 's$', '') ELSE x END"
+    excluded, named = (quoted(profile.words(k)) for k in ("nominalization_exclusions", "nominalizations"))
+    ending = "(?:" + "|".join(profile.words("nominalization_suffixes")) + ")$"
+    nominal = f"""len(list_filter(w, lambda x: x NOT IN ({excluded}) AND {one} NOT IN ({excluded})
+  AND (x IN ({named}) OR {one} IN ({named}) OR regexp_matches({one}, '{ending}'))))"""
     items = r"CASE WHEN contains(sentence, ',') THEN len(list_filter(regexp_split_to_array(sentence, ',| and | or '), lambda x: regexp_matches(x, '[\p{L}\p{N}]'))) ELSE 0 END"
     return [
         rule(w, "SENTENCE", "sentence_load", "len(w)", t["max_sentence_words"], capped(30, 1.5)),
@@ -123,11 +124,9 @@ def hyphen_terms() -> str:
 
 
 def compound_rules(profile) -> list[str]:
-    from glossa.sources import profiles as P
-
-    terms = f"SELECT * FROM ({hyphen_terms()}) WHERE term NOT IN ({quoted(P.ALLOWED_COMPOUNDS)})"
+    terms = f"SELECT * FROM ({hyphen_terms()}) WHERE term NOT IN ({quoted(profile.words('allowed_compounds'))})"
     most = profile.thresholds["max_compound_parts"]
-    plain = f"SELECT * FROM ({terms}) WHERE parts <= {most} AND (parts >= 3 OR string_split(term, '-')[-1] IN ({quoted(P.COMPOUND_MODIFIERS)}))"
+    plain = f"SELECT * FROM ({terms}) WHERE parts <= {most} AND (parts >= 3 OR string_split(term, '-')[-1] IN ({quoted(profile.words('compound_modifier_suffixes'))}))"
     return [
         rule(terms, "COMPOUND-DEPTH", "morphology", "parts", most, capped(10, 3)),
         rule(plain, "COMPOUND", "lexical_clarity", "parts", 0, "CASE WHEN parts >= 3 THEN 6 ELSE 4 END", "CASE WHEN parts >= 3 THEN 'medium' ELSE 'low' END"),
@@ -135,26 +134,27 @@ def compound_rules(profile) -> list[str]:
 
 
 def acronym_rule(profile) -> str:
-    from glossa.sources import profiles as P
-
     defined = rf"SELECT doc_id, unnest(regexp_extract_all(text, '\(([A-Z]{{2,8}})s?\)', 1)) AS acronym FROM {EN}"
     used = rf"SELECT doc_id, sentence_index, unnest(regexp_extract_all(sentence, '\b([A-Z]{{2,8}})s?\b', 1)) AS acronym FROM ({sentences()})"
-    counted = f"""SELECT doc_id, sentence_index, count(*) AS n FROM ({used}) u WHERE acronym NOT IN ({quoted(P.KNOWN_ACRONYMS)})
+    counted = f"""SELECT doc_id, sentence_index, count(*) AS n FROM ({used}) u WHERE acronym NOT IN ({quoted(profile.rules['known_acronyms'])})
 AND NOT EXISTS (SELECT 1 FROM ({defined}) d WHERE d.doc_id = u.doc_id AND d.acronym = u.acronym) GROUP BY doc_id, sentence_index"""
     return rule(counted, "ABBREVIATION", "lexical_clarity", "n", profile.thresholds["max_undefined_acronyms_per_sentence"], capped(12, 3))
 
 
+def paragraphs() -> str:
+    return rf"SELECT doc_id, unnest(p) AS paragraph, generate_subscripts(p, 1) - 1 AS paragraph_index, NULL AS sentence_index FROM (SELECT doc_id, regexp_split_to_array(text, '\n[ \t]*\n') AS p FROM {EN})"
+
+
 def paragraph_rule(profile) -> str:
-    parts = rf"SELECT doc_id, unnest(p) AS paragraph, generate_subscripts(p, 1) - 1 AS sentence_index FROM (SELECT doc_id, regexp_split_to_array(text, '\n[ \t]*\n') AS p FROM {EN})"
-    return rule(parts, "STRUCTURE", "structure", f"len(regexp_extract_all(paragraph, '{WORD}'))", profile.thresholds["max_paragraph_words"], capped(20, 0.75))
+    return rule(paragraphs(), "STRUCTURE", "structure", f"len(regexp_extract_all(paragraph, '{WORD}'))", profile.thresholds["max_paragraph_words"], capped(20, 0.75))
 
 
 def repeated_words_rule(profile) -> str:
     from glossa.sources import profiles as P
 
-    counted = rf"""SELECT doc_id, word, count(*) AS n, min(sentence_index) AS sentence_index
-FROM (SELECT doc_id, sentence_index, unnest({lowered_words()}) AS word FROM ({sentences()}))
-WHERE length(word) >= 7 AND word NOT IN ({quoted(P.STOP_LEMMAS)}) AND regexp_matches(word, '^\p{{L}}+$') GROUP BY doc_id, word"""
+    keys = "doc_id, word" if profile.flag("count_repetition_across_blocks") else "doc_id, paragraph_index, word"
+    counted = rf"""SELECT {keys}, count(*) AS n, NULL AS sentence_index FROM (SELECT doc_id, paragraph_index, unnest({lowered_words('paragraph')}) AS word FROM ({paragraphs()}))
+WHERE length(word) >= 7 AND word NOT IN ({quoted(P.STOP_LEMMAS)}) AND regexp_matches(word, '^\p{{L}}+$') GROUP BY {keys}"""
     return rule(counted, "REDUNDANCY", "redundancy", "n", profile.thresholds["max_repeated_content_word"], capped(10, 2), "'low'")
 
 
@@ -173,9 +173,7 @@ def filler_rule(phrases: dict) -> str:
 
 
 def qualifier_rule(profile) -> str:
-    from glossa.sources import profiles as P
-
-    w = f"SELECT doc_id, sentence_index, list_transform({lowered_words()}, lambda w: w IN ({quoted(P.QUALIFIERS)})) AS q FROM ({sentences()})"
+    w = f"SELECT doc_id, sentence_index, list_transform({lowered_words()}, lambda w: w IN ({quoted(profile.words('qualifiers'))})) AS q FROM ({sentences()})"
     n = f"SELECT *, len(list_filter(q, lambda x: x)) AS n, len(list_filter(range(1, len(q)), lambda i: q[i] AND q[i + 1])) > 0 AS s FROM ({w})"
     pair = rule(f"SELECT * FROM ({n}) WHERE s", "QUALIFIER", "redundancy", "n", 1, "5", "'medium'")
     many = rule(f"SELECT * FROM ({n}) WHERE NOT s AND n >= 2", "QUALIFIER", "redundancy", "n", profile.thresholds["max_qualifiers_per_sentence"], capped(10, 3))
@@ -183,9 +181,7 @@ def qualifier_rule(profile) -> str:
 
 
 def findings(profile) -> str:
-    from glossa.sources import profiles as P
-
-    return " UNION ALL ".join([*sentence_rules(profile), *compound_rules(profile), acronym_rule(profile), paragraph_rule(profile), repeated_words_rule(profile), filler_rule(P.FILLER_PHRASES), qualifier_rule(profile)])
+    return " UNION ALL ".join([*sentence_rules(profile), *compound_rules(profile), acronym_rule(profile), paragraph_rule(profile), repeated_words_rule(profile), filler_rule(profile.phrases('filler_phrases')), qualifier_rule(profile)])
 
 
 def components(profile) -> str:

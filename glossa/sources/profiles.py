@@ -1,54 +1,23 @@
-"""Policies as data: weights, bands, thresholds and word lists of each profile."""
+"""Policies: weights, bands, thresholds and word lists of a profile, shipped or read from a file."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass, field
 
-DIMENSIONS = ["sentence_load", "morphology", "agency", "lexical_clarity", "structure", "redundancy"]
+from glossa.sources.policies import POLICIES
 
-# Fixed values of the shipped policies, in natural order.
-THRESHOLD_NAMES = [
-    "max_sentence_words", "max_actions_per_sentence", "max_clauses_per_sentence", "max_nominalizations_per_sentence", "noun_stack_words", "max_paragraph_words",
-    "max_repeated_content_word", "max_punctuation_depth", "max_undefined_acronyms_per_sentence", "max_undefined_acronyms_per_paragraph", "max_inline_list_items",
-    "max_sentence_purposes", "max_qualifiers_per_sentence", "max_compound_parts", "max_duplicate_framing_block_distance", "max_duplicate_framing_words",
-    "min_duplicate_framing_shared_terms", "min_duplicate_framing_similarity",
-]
-THRESHOLDS = {
-    "architecture-review": [25, 3, 3, 2, 3, 90, 2, 4, 2, 4, 4, 2, 2, 3, 16, 30, 4, 0.5],
-    "product-strategy": [22, 3, 3, 2, 3, 80, 3, 4, 1, 3, 3, 2, 1, 3, 16, 30, 4, 0.5],
-    "web-copy": [20, 2, 2, 1, 3, 70, 3, 3, 1, 2, 3, 2, 1, 2, 16, 30, 4, 0.5],
-    "resume-review": [20, 3, 3, 1, 3, 60, 2, 3, 2, 4, 4, 2, 0, 3, 16, 30, 4, 0.5],
-    "local-service": [18, 2, 2, 1, 3, 60, 3, 3, 1, 2, 3, 2, 1, 2, 16, 30, 4, 0.5],
-}
-WEIGHTS = {
-    "architecture-review": [25, 20, 20, 15, 10, 10],
-    "product-strategy": [15, 15, 25, 25, 8, 12],
-    "web-copy": [20, 25, 12, 25, 8, 10],
-    "resume-review": [8, 25, 30, 15, 2, 20],
-    "local-service": [16, 18, 22, 32, 4, 8],
-}
-VERSIONS = {"architecture-review": "1.4.0", "product-strategy": "1.1.0", "web-copy": "1.2.0", "resume-review": "1.1.0", "local-service": "1.1.0"}
-BAND_NAMES = ["revision_required", "usable_but_improvable", "clear"]
-BANDS = {"local-service": [(0, 77.99), (78, 89.99), (90, 100)]}
-USUAL_BANDS = [(0, 69.99), (70, 84.99), (85, 100)]
-FLAGS = {
-    "product-strategy": ["require_responsible_actor"],
-    "web-copy": ["allow_implied_subject"],
-    "resume-review": ["require_responsible_actor", "allow_implied_first_person", "count_repetition_across_blocks"],
-}
-KNOWN_ACRONYMS = ["ADR", "AI", "API", "CPU", "DNS", "GB", "GPU", "HTTP", "HTTPS", "ID", "IP", "JSON", "MB", "RAM", "SDK", "SQL", "TCP", "TLS", "UI", "URL", "UTC", "UX", "VM", "XML", "YAML"]
-ALLOWED_COMPOUNDS = ["cost-effective", "evidence-based", "long-term", "near-term", "owner-approved", "read-only", "region-aware", "risk-based", "short-term", "well-known"]
-COMPOUND_MODIFIERS = ["adjusted", "aligned", "derived", "driven", "enabled", "evidenced", "oriented", "sourced"]
-QUALIFIERS = ["appropriately", "basically", "clearly", "fairly", "generally", "materially", "quite", "really", "relatively", "significantly", "somewhat", "substantially", "very"]
-NOMINAL_SUFFIXES = ["tion", "sion", "ment", "ance", "ence", "ency", "ship", "ure", "age"]
-FILLER_PHRASES = {
-    "purpose filler": ["in order to", "for purpose of", "for the purpose of"],
-    "temporal filler": ["at this point in time", "at this time"],
-    "noting filler": ["it should be note that"],
-}
+DIMENSIONS = ["sentence_load", "morphology", "agency", "lexical_clarity", "structure", "redundancy"]
+WEIGHTS = {name: list(p["weights"].values()) for name, p in POLICIES.items()}
+#: Words that carry no content for the rules on repetition.
 STOP_LEMMAS = "a an and any as at be before but by do for from have in into it not of on only or our out that the then this to with yet".split()
-# End of the fixed values.
+#: Word lists and phrase lists (label -> phrases) that a policy must have.
+LISTS = [
+    "abstract_evidence_heads", "nominalization_suffixes", "nominalization_exclusions", "nominalizations", "protected_concepts", "actor_terms", "allowed_compounds", "compound_modifier_suffixes", "known_acronyms", "qualifiers",
+]
+PHRASES = ["hidden_agency", "weak_verbs", "jargon", "bureaucratic_phrases", "indirect_predicates", "purpose_markers", "filler_phrases", "recommendation_action_groups"]
+FLAGS = ["require_responsible_actor", "allow_implied_subject", "allow_implied_first_person", "count_repetition_across_blocks"]
 
 
 @dataclass(frozen=True)
@@ -60,22 +29,60 @@ class Profile:
     weights: dict[str, int]
     bands: list[tuple[str, float, float]]
     thresholds: dict[str, float]
-    flags: list[str] = field(default_factory=list)
+    rules: dict[str, list | dict] = field(default_factory=dict)
+    rewrite_policy: dict[str, float | bool] = field(default_factory=dict)
 
     def __post_init__(self):
-        if sum(self.weights.values()) != 100 or list(self.weights) != DIMENSIONS:
+        if list(self.weights) != DIMENSIONS or sum(self.weights.values()) != 100:
             raise ValueError(f"{self.name}: the six weights must total 100")
+        edges = sorted((lo, hi) for _, lo, hi in self.bands)
+        if not edges or edges[0][0] != 0 or edges[-1][1] != 100 or any(round(b[0] - a[1], 2) != 0.01 for a, b in zip(edges, edges[1:], strict=False)):
+            raise ValueError(f"{self.name}: the bands must cover 0 to 100 without gap or overlap")
+        if any(isinstance(v, str) or v < 0 for v in self.thresholds.values()):
+            raise ValueError(f"{self.name}: thresholds must be numbers from 0 on")
+        for key in LISTS:
+            if not all(isinstance(x, str) and x for x in self.rules.get(key, [])):
+                raise ValueError(f"{self.name}: {key} must be a list of words")
+        for key in PHRASES:
+            if not all(isinstance(v, list) and all(isinstance(x, str) and x for x in v) for v in dict(self.rules.get(key, {})).values()):
+                raise ValueError(f"{self.name}: {key} must map labels to lists of phrases")
 
     @property
     def digest(self) -> str:
-        import hashlib
-
         return hashlib.sha256(json.dumps(self.__dict__, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
+    def flag(self, *names: str) -> bool:
+        return any(bool(self.thresholds.get(name, 0)) for name in names)
+
+    def words(self, key: str) -> list[str]:
+        """A word list in lower case."""
+        return [w.lower() for w in self.rules.get(key, [])]
+
+    def phrases(self, key: str) -> dict[str, list[str]]:
+        return dict(self.rules.get(key, {}))
+
+
+def _of(name: str, p: dict) -> Profile:
+    bands = [(b["name"], b["minimum"], b["maximum"]) if isinstance(b, dict) else tuple(b) for b in p["bands"]]
+    weights = {d: p["weights"][d] for d in DIMENSIONS if d in p["weights"]}
+    return Profile(name, p["version"], weights, [(b, float(lo), float(hi)) for b, lo, hi in bands], dict(p["thresholds"]), p["rules"], p.get("rewrite_policy", {}))
+
 
 def load_profile(name: str = "architecture-review") -> Profile:
     """A shipped policy by name."""
-    if name not in WEIGHTS:
-        raise ValueError(f"unknown profile {name!r}; there are {', '.join(sorted(WEIGHTS))}")
-    bands = [(b, float(lo), float(hi)) for b, (lo, hi) in zip(BAND_NAMES, BANDS.get(name, USUAL_BANDS), strict=True)]
-    return Profile(name, VERSIONS[name], dict(zip(DIMENSIONS, WEIGHTS[name], strict=True)), bands, dict(zip(THRESHOLD_NAMES, THRESHOLDS[name], strict=True)), FLAGS.get(name, []))
+    if name not in POLICIES:
+        raise ValueError(f"unknown profile {name!r}; there are {', '.join(sorted(POLICIES))}")
+    return _of(name, POLICIES[name])
+
+
+def read_profile(path: str) -> Profile:
+    """A policy from a JSON file; an error names what is missing or wrong."""
+    with open(path, encoding="utf-8") as f:
+        p = json.load(f)
+    missing = [k for k in ("name", "version", "weights", "bands", "thresholds", "rules") if k not in p]
+    if missing:
+        raise ValueError(f"{path}: no {', '.join(missing)}")
+    lacking = sorted(set(POLICIES["architecture-review"]["thresholds"]) - set(p["thresholds"])) + [k for k in LISTS + PHRASES if k not in p["rules"]]
+    if lacking:
+        raise ValueError(f"{path}: no {', '.join(lacking)}")
+    return _of(p["name"], p)

@@ -15,7 +15,7 @@ from glossa.operators import readability as R
 from glossa.operators import scoring as S
 from glossa.operators.annotate import annotate, tokens
 from glossa.operators.blocks import block_counts, blocks, code_spans, segment
-from glossa.operators.stemming import action_stem
+from glossa.operators.stemming import stem
 from glossa.plans import inline
 from glossa.sources import files
 from glossa.sources import profiles as P
@@ -111,8 +111,8 @@ def test_code_spans():
 
 
 @pytest.mark.parametrize("a, b", [("ratification", "ratify"), ("authorisation", "authorize"), ("decision", "decide"), ("connection", "connect"), ("shardification", "shardify"), ("bluegreenization", "bluegreenize")])
-def test_action_stems_agree(a, b):
-    assert action_stem(a) == action_stem(b)
+def test_action_stems_agree(spark, a, b):
+    assert spark.range(1).select(stem(F.lit(a)) == stem(F.lit(b))).first()[0]
 
 
 def test_meaning(spark):
@@ -138,7 +138,7 @@ def test_claims_of_one_text(spark):
     sent = spark.createDataFrame([(1, 0, "The operator shall quarantine the cache and review logs."), (2, 0, "Do not deploy the cache.")], "doc_id int, sentence_index int, sentence string")
     got = {(r.doc_id, r.actor, r.action, r.target, r.modality, r.polarity) for r in claims.claims(tokens(sent)).collect()}
     assert got == {
-        (1, "operator", action_stem("quarantine"), "cache", "must", "positive"), (1, "operator", action_stem("review"), "log", "must", "positive"), (2, "unspecified", action_stem("deploy"), "cache", "must", "negative"),
+        (1, "operator", "quarantin", "cache", "must", "positive"), (1, "operator", "review", "log", "must", "positive"), (2, "unspecified", "deploy", "cache", "must", "negative"),
     }
 
 
