@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -97,7 +100,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def sized_slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def sized_slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with about ``most_bytes`` of a text column each, one row at least."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -108,6 +111,21 @@ def sized_slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int
                 yield batch.slice(first, last - first)
 
 
+def lean(run):
+    """``run`` (batches to batches), after which the worker gives freed memory back: workers serve many stages."""
+
+    @functools.wraps(run)
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+    return kept
+
+
 def id_residue(doc_id: Column, modulus: int) -> Column:
     """crc32 of the decimal text of an id, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % modulus

@@ -28,7 +28,7 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 _BYTE_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \n{_LETTERS}0-9]+|[ \n]+(?![^ \n])|[ \n]")
 _WORD_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^ \n{_LETTERS}0-9]+")
 _MARKS = ".,;:!?)*$#%&|"
-_REMEMBERED, _LONG = 400_000, 48
+_REMEMBERED, _LONG = 250_000, 48
 
 
 def _byte_alphabet() -> dict[int, str]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import materialize, sized_slices
+from glossa.llm.common import lean, materialize, sized_slices
 
 CAPACITY = 2048
 
@@ -29,6 +29,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     ids are little-endian unsigned 32-bit numbers. A null text is empty: its only id is the end.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from glossa.llm.encoding import encoder
 

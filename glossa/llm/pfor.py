@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import materialize, shared_path, sized_slices
+from glossa.llm.common import lean, materialize, shared_path, sized_slices
 
 MAGIC = b"PFR1"
 BLOCK, LANES = 256, 8
@@ -191,6 +191,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     are empty. ``folder`` is a URI that driver and executors share.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from glossa.llm.encoding import encoder
 
@@ -220,6 +221,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document of the files in a manifest."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import id_residue, materialize, sized_slices
+from glossa.llm.common import id_residue, lean, materialize, sized_slices
 
 ORDER = 5
 END = "\n"
-_BATCH = 4 << 20
-_POSITIONS = 1 << 22
-_PRICED = 1 << 20
+_BATCH = 1 << 20
+_POSITIONS = 1 << 21
+_PRICED = 1 << 18
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,6 +79,7 @@ def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nda
 def count_grams(rows: DataFrame) -> DataFrame:
     """(gram, n, m) from (text, held_out): n in training texts, m in all. Tasks count in arrays before the shuffle."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(part: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
             key, m = part
@@ -111,8 +112,9 @@ def count_grams(rows: DataFrame) -> DataFrame:
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, c) over all texts; each batch sends each of its words once."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_slices(batches, 0, 4 * _BATCH):
+        for batch in sized_slices(batches, 0, 8 * _BATCH):
             found = split_words(batch.column(0))[0].flatten().value_counts()
             there = pc.not_equal(found.field("values"), "")
             yield pa.RecordBatch.from_arrays([found.field("values").filter(there).cast(pa.string()), found.field("counts").filter(there)], ["word", "c"])
@@ -204,6 +206,7 @@ def priced(grams: DataFrame) -> DataFrame:
     trigrams = materialize(grams.filter("n > 0").groupBy(three.alias("tri")).agg(F.sum("n").alias("n2")), "trigrams")
     shared = grams.sparkSession.sparkContext.broadcast(short_levels(trigrams))  # five arrays of fixed size
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[np.ndarray]) -> pa.RecordBatch:
             _, gram, n, m, n2 = np.concatenate(rows).T
@@ -321,6 +324,7 @@ def scores(docs: DataFrame, modulus: int = 7, held_out: int = 2, top_words: int
     order = np.argsort(grams.column("m").to_numpy(), kind="stable")
     shared = spark.sparkContext.broadcast((grams.column("gram").to_numpy()[order], grams.column("bits").to_numpy()[order], top.column("word").combine_chunks().cast(pa.large_string()), np.log10(top.column("c").to_numpy() + 1.0)))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, top, logs = _once_value(shared, lambda x: (Lookup(x[0], x[1]), x[2], np.append(x[3], 0.0)))
         number = TaskContext.get().partitionId() << 40

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossa.llm.common import id_residue, materialize, numbered, renamed_back, text_bytes
+from glossa.llm.common import id_residue, lean, materialize, numbered, renamed_back, text_bytes
 
 STATISTICS = [
     "log_chars", "log_words", "mean_word", "spread_word", "short_words", "long_words", "distinct_words", "log_lines", "dup_lines", "upper", "digits", "white", "symbols", "stops",
@@ -103,6 +103,7 @@ class QualityModel:
 def _summed(rows: DataFrame, of, size: int) -> np.ndarray:
     """Sum over all rows of ``of(statistics, labels)``, a vector of ``size``: by task first, then by entry."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
@@ -178,6 +179,7 @@ def scored(measured: DataFrame, model: QualityModel, into: str = "score") -> Dat
     at = measured.columns.index("_statistics")
     keep = [i for i in range(len(measured.columns)) if i != at]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = model.score(_matrix(batch.column(at))) if batch.num_rows else np.zeros(0)

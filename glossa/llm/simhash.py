@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import materialize, numbered, renamed_back, slices, text_bytes
+from glossa.llm.common import lean, materialize, numbered, renamed_back, slices, text_bytes
 from glossa.llm.components import components
 
 SEGMENTS, CHAIN = 8, 5
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, carry: list[str], text_col: str = "text", n_wo
     """The ``carry`` columns and ``fp`` (the 64 bits as a signed long) of every row; null texts are empty."""
     narrow = docs.select(*carry, F.col(text_col).alias("_text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = np.array([simhash(x, n_words) for x in text_bytes(batch.column(len(carry)))], np.uint64).view(np.int64)
@@ -188,6 +189,7 @@ def stars(distinct_fps: DataFrame, max_bits: int = 4) -> DataFrame:
     n_sets = len(key_sets(max_bits))
     width = 8 * len(key_sets(max_bits)[0])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             a, b = _stars(keys, fps, max_bits, n_sets, width)
