@@ -105,20 +105,26 @@ def dispositions(pairs: DataFrame, difference: DataFrame, doubts: DataFrame) ->
     return joined.select("pair_id", what.alias("disposition"))
 
 
-def judged(pairs: DataFrame, growth_percent: int = 10, growth_words: int = 12) -> DataFrame:
+def judged(pairs: DataFrame, growth_percent: float = 10, growth_words: int = 12, target_grade: float | None = None) -> DataFrame:
     """Accept or reject candidates, with the reasons in order.
 
     ``pairs`` has pair_id, disposition, source_value, candidate_value, source_words, candidate_words,
-    source_high, candidate_high (arrays of rule ids of high severity).
+    source_high, candidate_high (arrays of rule ids of high severity). With ``target_grade`` it also has
+    source_grade and candidate_grade; then the score may stay, and the grade must fall to the target.
     """
     allowed = F.col("source_words") + F.greatest(F.lit(growth_words), F.ceil(F.col("source_words") * growth_percent / 100))
     new = F.array_except("candidate_high", "source_high")
+    if target_grade is None:
+        scored = [F.when(F.col("candidate_value") <= F.col("source_value"), F.lit("score_not_improved"))]
+    else:
+        scored = [
+            F.when(F.col("candidate_value") < F.col("source_value"), F.lit("score_regressed")), F.when(F.coalesce(F.col("candidate_grade") >= F.col("source_grade"), F.lit(True)), F.lit("grade_not_lowered")),
+            F.when(F.coalesce(F.col("candidate_grade") > target_grade, F.lit(True)), F.lit("grade_over_target")),
+        ]
     reasons = F.array(
-        F.when(F.col("disposition") != "equivalent", F.concat(F.lit("meaning_"), F.col("disposition"))),
-        F.when(F.col("candidate_value") <= F.col("source_value"), F.lit("score_not_improved")),
-        F.when(F.size(new) > 0, F.lit("new_high_severity")),
-        F.when(F.col("candidate_words") > allowed, F.lit("too_long")),
-    )
+        F.when(F.col("disposition") != "equivalent", F.concat(F.lit("meaning_"), F.col("disposition"))), *scored,
+        F.when(F.size(new) > 0, F.lit("new_high_severity")), F.when(F.col("candidate_words") > allowed, F.lit("too_long")),
+    )
     kept = F.filter(reasons, lambda r: r.isNotNull())
     return pairs.select("pair_id", (F.size(kept) == 0).alias("accepted"), F.array_join(kept, ",").alias("reasons"), allowed.cast("long").alias("allowed_words"))
 
