@@ -127,12 +127,24 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray, labels: np.ndarray | None = Non
     return labels
 
 
-def _large_run(fps: np.ndarray, max_bits: int) -> np.ndarray:
+def _chain_masks(start: int, max_bits: int) -> list[tuple[np.uint64, int]]:
+    """(bits of the first l segments from ``start``, their budget) for the l past a key's own part, the whole ring last."""
+    out, mask = [], 0
+    for n, most in enumerate(budgets(max_bits)):
+        mask |= 255 << 8 * ((start + n) % SEGMENTS)
+        if n >= CHAIN - 1:
+            out.append((np.uint64(mask), most))
+    return out
+
+
+def _large_run(fps: np.ndarray, max_bits: int, start: int) -> np.ndarray:
     """Roots of the links among many distinct fingerprints of one key.
 
     Neighbours at one bit are found by lookup; in a dense group they leave one main component. Only
-    what stands outside it is compared with everything, in blocks.
+    what stands outside it is compared with everything, in blocks; there each longer chain from the key's
+    start prunes by its budget, and what is left meets the full check, which is the whole ring's budget.
     """
+    chains = _chain_masks(start, max_bits)
     n = len(fps)
     order = np.argsort(fps)
     there = fps[order]
@@ -147,7 +159,11 @@ def _large_run(fps: np.ndarray, max_bits: int) -> np.ndarray:
     for k in range(0, len(outside), 256):
         some = outside[k : k + 256]
         for m in range(0, n, 65536):
-            i, j = np.nonzero(np.bitwise_count(fps[some][:, None] ^ fps[None, m : m + 65536]) <= max_bits)
+            mask, most = chains[0]
+            i, j = np.nonzero(np.bitwise_count((fps[some][:, None] ^ fps[None, m : m + 65536]) & mask) <= most)
+            for mask, most in chains[1:]:
+                near = np.bitwise_count((fps[some[i]] ^ fps[m + j]) & mask) <= most
+                i, j = i[near], j[near]
             labels = _roots(n, some[i], m + j, labels)
     return labels
 
@@ -160,7 +176,7 @@ def _stars(keys: np.ndarray, fps: np.ndarray, max_bits: int, n_sets: int, width:
     a, b = [], []
     for s, n in zip(begin[size > SMALL_RUN].tolist(), size[size > SMALL_RUN].tolist(), strict=True):
         run = fps[s : s + n]
-        roots = _large_run(run, max_bits)
+        roots = _large_run(run, max_bits, int(keys[s] >> width) // n_sets)
         out = roots != np.arange(n)
         a.append(run[out])
         b.append(run[roots[out]])
