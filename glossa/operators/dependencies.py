@@ -64,12 +64,15 @@ def noun_stacks(tokens: DataFrame, least: int = 3) -> DataFrame:
 
 
 def subtree(tokens: DataFrame) -> DataFrame:
-    """(doc_id, root, index): every token below each token, itself included, by a recursive query."""
-    return tokens.sparkSession.sql(
-        """WITH RECURSIVE below(doc_id, root, index) AS (
-          SELECT doc_id, index, index FROM {tokens}
-          UNION ALL
-          SELECT b.doc_id, b.root, t.index FROM below b JOIN {tokens} t ON t.doc_id = b.doc_id AND t.head = b.index AND t.index <> t.head
-        ) SELECT doc_id, root, index FROM below""",
-        tokens=tokens,
-    )
+    """(doc_id, root, index): every token below each token, itself included.
+
+    A sentence's heads meet in one row; each token's path to its root is a fold over them, so neither depth
+    nor number of sentences has a limit and rows move once. A head that is not in the sentence ends a path.
+    """
+    heads = F.map_from_entries(F.collect_list(F.struct("index", "head"))).alias("up")
+    each = tokens.groupBy(*KEY).agg(heads).select("doc_id", "up", F.explode(F.map_keys("up")).alias("index"))
+    last = lambda path: F.element_at(path, -1)
+    above = lambda path: F.col("up")[last(path)]
+    ends = lambda path: F.coalesce((above(path) == last(path)) | ~F.map_contains_key("up", above(path)), F.lit(True))
+    path = F.aggregate(F.sequence(F.lit(1), F.size("up")), F.array("index"), lambda p, _: F.when(ends(p), p).otherwise(F.concat(p, F.array(above(p)))))
+    return each.select("doc_id", F.explode(path).alias("root"), "index")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 #: Protected patterns, number words, units, operators.
 PATTERNS = {
-    "url": r"https?://[^\s<>()\"]+",
+    "url": r"https?://[^\s<>()]+",
     "code": "`[^`\n]+`",
-    "citation": r"\[[^\]\n]+\]|\([A-Z][A-Za-z]+,? \d{4}\)",
-    "identifier": r"\b[A-Z][A-Z0-9]*(?:-\d+|\d[A-Z0-9]*(?:\.\d+)*)\b",
+    "citation": r"\[[A-Za-z0-9_.:-]+\]|\([A-Za-z][A-Za-z .'-]+,\s*\d{4}\)",
+    "identifier": r"\b(?:[A-Za-z]{2,}-\d+(?:-[A-Za-z0-9]+)*|[A-Z]\d+(?:\.\d+)*|[A-Z]{1,8}\d[A-Z0-9]*(?:-[A-Z0-9]+)*)\b",
 }
 NUMBERS = dict(zip("one two three four five six seven eight nine ten both".split(), "1 2 3 4 5 6 7 8 9 10 2".split(), strict=True))
 OPERATORS = {

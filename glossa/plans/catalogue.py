@@ -48,6 +48,7 @@ from glossa.functions import text as X  # noqa: E402
 from glossa.operators import analysis  # noqa: E402
 from glossa.operators import findings as D  # noqa: E402
 from glossa.operators import meaning as M  # noqa: E402
+from glossa.operators import protection  # noqa: E402
 from glossa.operators.blocks import block_counts, blocks  # noqa: E402
 from glossa.operators import scoring as S  # noqa: E402
 from glossa.sources import profiles as P  # noqa: E402
@@ -133,7 +134,7 @@ register(
     "m1_protected_items",
     lambda s, d: M.regex_items(s.read.parquet(f"{d}/pages.parquet").withColumn("html", F.concat_ws(" ", "url", "html")), "html", "page_id"),
     "SELECT page_id, kind, CASE WHEN kind = 'identifier' THEN upper(item) ELSE item END AS item, count(*) AS n FROM ("
-    + " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, unnest(regexp_extract_all(url || ' ' || html, '{p}')) AS item FROM pages" for k, p in M.PATTERNS.items())
+    + " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, unnest(regexp_extract_all(url || ' ' || html, '{p.replace(chr(39), chr(39) * 2)}')) AS item FROM pages" for k, p in M.PATTERNS.items())
     + ") GROUP BY ALL",
 )
 
@@ -155,6 +156,7 @@ register("r19_document_mixed_purposes", lambda s, d: inline.U.mixed_purposes(_se
 register("r22_document_duplicated_recommendations", lambda s, d: inline.U.duplicated_recommendations(_sentences(s, d)), inline.twice_sql(f"({O.sentences()})"))
 #: All rules over annotated documents; the fixture query of the same operator has labelled rows.
 register("r29_all_findings", lambda s, d: analysis.findings(english(s, d), USUAL))
+register("m4_protected_manifest", lambda s, d: protection.manifest(english(s, d)))
 register("r28_sentence_records", lambda s, d: analysis.sentence_records(english(s, d)))
 register("a3_all_score_architecture_review", lambda s, d: S.scores(S.components(english(s, d), analysis.findings(english(s, d), USUAL), USUAL), USUAL))
 register("st8_block_counts", lambda s, d: block_counts(blocks(english(s, d), ["doc_id"]), "doc_id"))

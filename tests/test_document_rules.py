@@ -20,3 +20,9 @@ def test_noun_stacks_have_no_longest(spark):
     rows = [(1, 0, k, f"w{k}", f"w{k}", "NOUN", "compound", 20) for k in range(20)] + [(1, 0, 20, "head", "head", "NOUN", "ROOT", 20)]
     tokens = spark.createDataFrame(rows, "doc_id int, sentence_index int, index int, text string, lemma string, pos string, dep string, head int")
     assert [(r.root, r.depth) for r in D.noun_stacks(tokens).collect()] == [(20, 21)]
+
+
+def test_subtrees_of_deep_chains(spark):
+    rows = [(1, 0, k, max(k - 1, 0)) for k in range(150)] + [(1, 1, 150, 150), (1, 1, 151, 999)]
+    got = D.subtree(spark.createDataFrame(rows, "doc_id int, sentence_index int, index int, head int")).collect()
+    assert len(got) == 150 * 151 // 2 + 2 and {r.index for r in got if r.root == 100} == set(range(100, 150))
