@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from glossa.functions import text as X
 
 _COUNTS = X.COUNTS
+#: What readability does not read, in order, and what stands for it.
+NOT_READ = [
+    ("`[^`\n]+`", " "),
+    (r"!?\[([^\]\n]*)\]\([^()\s]*\)", "$1"),
+    (r"https?://[^\s<>()]+", " "),
+    (r"\[[A-Za-z0-9_.:-]+\]|\([A-Za-z][A-Za-z .'-]+,\s*\d{4}\)|\(pp?\.\s*\d+(?:[-–]\d+)?\)", " "),
+]
+
+
+def readable(docs: DataFrame) -> DataFrame:
+    """``docs`` whose text has no inline code, link targets, addresses and citations; a link's label stays."""
+    text = F.col("text")
+    for pattern, left in NOT_READ:
+        text = F.regexp_replace(text, pattern, left)
+    return docs.withColumn("text", text)
 
 
 def sentence_counts(docs: DataFrame, normalize: bool = True) -> DataFrame:

@@ -26,6 +26,7 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle:
 
 register("g_readability_documents", lambda s, d: R.document_grades(english(s, d)), O.document_grades())
 register("g_readability_raw", lambda s, d: R.document_grades(english(s, d), normalize=False), O.document_grades(False))
+register("g4_readability_of_prose", lambda s, d: R.document_grades(R.readable(english(s, d))), O.document_grades(source=O.readable()))
 register("g_readability_sentences", lambda s, d: R.sentence_grades(english(s, d)), O.sentence_grades())
 register(
     "r25_grade_findings",

@@ -66,9 +66,18 @@ def sentence_grades() -> str:
     return f"SELECT doc_id, CAST(sentence_index AS INTEGER) AS sentence_index, {COUNTS}, {GRADES} FROM (SELECT *, 1 AS sentences FROM ({sentence_counts()}))"
 
 
-def document_grades(normalize: bool = True) -> str:
+def readable(source: str = EN) -> str:
+    from glossa.operators.readability import NOT_READ
+
+    text = "text"
+    for pattern, left in NOT_READ:
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{left.replace('$', chr(92))}', 'g')"
+    return f"(SELECT * REPLACE ({text} AS text) FROM {source})"
+
+
+def document_grades(normalize: bool = True, source: str = EN) -> str:
     sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in COUNTS.split(", "))
-    return f"SELECT doc_id, sentences, {COUNTS}, {GRADES} FROM (SELECT doc_id, count(*) AS sentences, {sums} FROM ({sentence_counts(normalize)}) GROUP BY doc_id)"
+    return f"SELECT doc_id, sentences, {COUNTS}, {GRADES} FROM (SELECT doc_id, count(*) AS sentences, {sums} FROM ({sentence_counts(normalize, source)}) GROUP BY doc_id)"
 
 # --- findings -------------------------------------------------------------------------------------
 

@@ -49,6 +49,11 @@ def test_sentences(spark):
     assert [r.sentence for r in got] == ["See Dr. Who, e.g. now.", "Then go!", "Yes?", "no"]
 
 
+def test_readability_leaves_out_what_is_no_prose(spark):
+    text = "Use `x = 1` and [the guide](https://a.b/c) as in https://x.y or (Doe, 2020) or [12] (p. 3)."
+    assert R.readable(docs(spark, text)).first().text.split() == "Use and the guide as in or or .".split()
+
+
 def test_figures_count_one_syllable(spark):
     row = R.document_grades(docs(spark, "Pay 1,250,000 now.")).first()
     assert (row.figures, row.syllables, row.characters) == (1, 3, 9)
