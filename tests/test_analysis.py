@@ -28,18 +28,16 @@ def test_every_rule_is_reached(spark):
 def test_profiles_have_words_of_their_own(spark):
     texts = ["Our synergy is here.", "The market should build the tool. They said so.", "Own the incident process.", "We led the change.\n\n- We improved systems\n- We improved systems\n- We improved systems"]
     strategy, resume = found(spark, texts, P.load_profile("product-strategy")), found(spark, texts, P.load_profile("resume-review"))
-    assert (0, "JARGON", "synergy") in strategy and (0, "JARGON", "synergy") not in found(spark, texts)
+    assert (0, "JARGON", "synergy") in strategy and (0, "JARGON", "synergy") not in resume
     assert any(i == 1 and rule == "ACTOR" for i, rule, _ in strategy)
     assert not any(i == 2 and rule == "ACTOR" for i, rule, _ in resume)
     assert any(rule == "REDUNDANCY" for _, rule, _ in resume) and not any(rule == "REDUNDANCY" for _, rule, _ in strategy)
 
 
 def test_odd_texts(spark):
-    assert found(spark, [None, "", "  \n ", "```\nmust be approved\n```", "日本語。", "\\", "("]) == []
+    got = found(spark, [None, "", "  \n ", "```\nmust be approved\n```", "日本語。", "\\", "(", "The plan must be approved. " * 3000])
+    assert {i for i, _, _ in got} == {7} and sum(rule == "PASSIVE" for _, rule, _ in got) == 3000
     assert found(spark, []) == []
-    long = "The plan must be approved. " * 3000
-    got = found(spark, [long])
-    assert sum(rule == "PASSIVE" for _, rule, _ in got) == 3000
 
 
 def test_reading_places():

@@ -25,4 +25,4 @@ def test_noun_stacks_have_no_longest(spark):
 def test_subtrees_of_deep_chains(spark):
     rows = [(1, 0, k, max(k - 1, 0)) for k in range(150)] + [(1, 1, 150, 150), (1, 1, 151, 999)]
     got = D.subtree(spark.createDataFrame(rows, "doc_id int, sentence_index int, index int, head int")).collect()
-    assert len(got) == 150 * 151 // 2 + 2 and {r.index for r in got if r.root == 100} == set(range(100, 150))
+    assert len(got) == 150 * 151 // 2 + 2 and {r["index"] for r in got if r.root == 100} == set(range(100, 150))
