@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import slices
-from glossa.llm.encoding import Memo
 
 MARK = "▁"
 #: Fixed values of the file format: kinds of pieces, kinds of models, the penalty of an unknown character.
@@ -137,6 +136,32 @@ class DoubleArray:
         self.base, self.check, self.value = (np.pad(x, (0, max(0, n - len(x))), constant_values=-1)[:n] for x in (base, check, value))
 
 
+class Remembered:
+    """A mapping of bounded size in two generations: what is asked for stays, the rest goes in time.
+
+    Keys over ``LONG`` characters are made for their batch alone, so that texts without blanks hold no memory.
+    """
+
+    LONG = 64
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old, self.passing = limit, {}, {}, {}
+
+    def ensure(self, keys: set[str], make) -> Callable[[str], bytes]:
+        """The value of each of ``keys``; ``make`` gives the values of a list of new ones, all at once."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        new = keys.difference(self.young)
+        found = {k: self.old[k] for k in new if k in self.old}
+        self.young.update(found)
+        listed = list(new.difference(found))
+        made = dict(zip(listed, make(listed), strict=True)) if listed else {}
+        self.passing = {k: v for k, v in made.items() if len(k) > self.LONG}
+        self.young.update((k, v) for k, v in made.items() if len(k) <= self.LONG)
+        young, passing = self.young, self.passing
+        return young.__getitem__ if not passing else lambda key: young[key] if key in young else passing[key]
+
+
 class Unigram:
     """Encoder and decoder of one vocabulary; made once, sent to the workers."""
 
@@ -157,7 +182,7 @@ class Unigram:
         self.dummy_prefix = pieces.dummy_prefix
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}|\n", pieces.texts[i]) for i in usable)
         self.shown = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else t.replace(MARK, " ").encode() for t, k in zip(pieces.texts, pieces.kinds, strict=True)]
-        self.memo: Memo | None = None
+        self.memo: Remembered | None = None
 
     def best_paths(self, words: list[bytes]) -> list[bytes]:
         """Ids (little-endian i32) of the best path of each UTF-8 word, ties to the earlier start."""
@@ -265,11 +290,10 @@ class Unigram:
         shown = [(" " + t if self.dummy_prefix else t) if t else "" for t in texts]
         if not self.by_word:
             return self.best_paths([t.replace(" ", MARK).encode() for t in shown])
-        self.memo = self.memo or Memo(400_000)
+        self.memo = self.memo or Remembered(400_000)
         keys = [self._keys(t) if t else [] for t in shown]
-        self.memo.turn()
         known = self.memo.ensure(set().union(*keys), self._search)
-        return [b"".join(map(known.__getitem__, k)) for k in keys]
+        return [b"".join(map(known, k)) for k in keys]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: markers are blanks again, byte pieces join to characters, the first blank goes."""

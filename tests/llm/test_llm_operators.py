@@ -402,6 +402,15 @@ def test_unigram_against_all_segmentations():
         assert model.decode(model.encode_batch([text])[0]) == text
 
 
+def test_unigram_memory_is_bounded():
+    memo, made = unigram.Remembered(3), []
+    make = lambda keys: made.extend(keys) or [k.encode() for k in keys]
+    for batch in (["a", "b", "x" * 100], ["a", "c", "d"], ["e", "x" * 100], ["a"], ["b"]):
+        known = memo.ensure(set(batch), make)
+        assert [known(k) for k in batch] == [k.encode() for k in batch]
+    assert made.count("x" * 100) == 2 and made.count("a") == 1 and max(map(len, [*memo.young, *memo.old])) == 1
+
+
 def test_sentencepiece_round_trip(docs, none, rows):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = unigram.encode_documents(docs, path).collect()
