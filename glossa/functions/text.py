@@ -12,17 +12,19 @@ WORD = r"[\p{L}\p{N}]+(?:['’\-.,:/][\p{L}\p{N}]+)*"
 FIGURE_CHARACTERS = 3
 FIGURE_SYLLABLES = 1
 _CUT, _STOP = "\x01", "\x02"
+#: White space as SQL's patterns have it: no vertical tab. The end is ``\\z``, as Java's ``$`` is also before a last line break.
+_BLANK = r"[\t\n\f\r ]"
 
 
 def abbreviation_pattern() -> str:
-    return "(?i)(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.(\s|$)"
+    return "(?i)(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + rf")\.({_BLANK}|\z)"
 
 
 def sentence_array(text: Column) -> Column:
     """Sentences: cut after ``.!?`` before white space or the end, unless an abbreviation ends there."""
     masked = F.regexp_replace(text, abbreviation_pattern(), f"$1{_STOP}$2")
-    marked = F.regexp_replace(masked, r"([.!?])(\s|$)", f"$1{_CUT}")
-    parts = F.transform(F.split(marked, _CUT), lambda s: F.trim(F.regexp_replace(F.translate(s, _STOP, "."), r"\s+", " ")))
+    marked = F.regexp_replace(masked, rf"([.!?])({_BLANK}|\z)", f"$1{_CUT}")
+    parts = F.transform(F.split(marked, _CUT), lambda s: F.trim(F.regexp_replace(F.translate(s, _STOP, "."), f"{_BLANK}+", " ")))
     return F.filter(parts, lambda s: s != "")
 
 
