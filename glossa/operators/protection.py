@@ -9,15 +9,13 @@ from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glossa.functions import text as X
 from glossa.operators import meaning as M
 from glossa.operators import stemming
-from glossa.operators.reading import read
+from glossa.operators.reading import by_text, read
 from glossa.sources.profiles import Profile, load_profile
 
 # Units, comparisons by number of words, modal names, negations of their own, governance terms.
@@ -34,7 +32,6 @@ def _patterns(text: Column, profile: Profile) -> Column:
     """array<ITEM> of the fixed patterns and of the policy's concepts."""
     known = [(kind, re.compile(p), None) for kind, p in M.PATTERNS.items()]
     known += [(f"concept:{c['kind']}", re.compile(p, re.IGNORECASE), c["value"]) for c in profile.rules.get("protected_concepts", []) for p in c["patterns"]]
-    kind_of = T._parse_datatype_string(f"array<{ITEM}>")
 
     def found(t: str) -> list[dict]:
         out, covered = [], bytearray(len(t))
@@ -45,13 +42,7 @@ def _patterns(text: Column, profile: Profile) -> Column:
                 covered[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
         return out
 
-    @F.arrow_udf(kind_of)
-    def spans(texts: pa.Array) -> pa.Array:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        return pa.array([found(t or "") for t in texts.to_pylist()], to_arrow_type(kind_of))
-
-    return spans.asNondeterministic()(text)
+    return by_text(found, f"array<{ITEM}>", text)
 
 
 def _item(kind: str, text: Column, normalized: Column, start: Column, end: Column) -> Column:
