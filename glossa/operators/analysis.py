@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from glossa.functions import text as X
 from glossa.operators import findings as W
 from glossa.operators.dependencies import ABSTRACT, CLAUSAL, IMPERSONAL, NOT_HEADS, OBLIGATION, PASSIVE, SUBJECTS
-from glossa.operators.reading import read
+from glossa.operators.reading import OUTLINE, by_text, outline, read
 from glossa.sources.profiles import STOP_LEMMAS, Profile
 
 # Fixed values of the rules.
@@ -366,5 +366,5 @@ def findings(docs: DataFrame, profile: Profile) -> DataFrame:
 
 def sentence_records(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_index, block_index, start, end, words) of every sentence."""
-    rows = read(docs.select("doc_id", "text")).select("doc_id", F.explode("reading.sentences").alias("s"))
+    rows = docs.select("doc_id", F.explode(by_text(outline, OUTLINE, F.col("text"))).alias("s"))
     return rows.select("doc_id", F.col("s.index").alias("sentence_index"), F.col("s.block").alias("block_index"), "s.start", "s.end", F.col("s.n_words").alias("words"))
