@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from glossa.functions import text as X
 from glossa.operators import meaning as M
 from glossa.operators import stemming
-from glossa.operators.annotate import tokens
+from glossa.operators.annotate import annotate, tokens
+from glossa.operators.reading import by_text
 
 # Synonyms of actions, verbs that claim nothing, modal names, number words.
 SAME_ACTION = {"address": "resolve", "fix": "resolve", "remediate": "resolve", "mention": "note", "observe": "note", "start": "begin"}
@@ -71,6 +72,59 @@ def claims(toks: DataFrame) -> DataFrame:
     )
 
 
+CLAIM = "array<struct<index: int, actor: string, action: string, target: string, modality: string, polarity: string>>"
+
+
+def sentence_claims(sentence: str) -> list[dict]:
+    """What ``claims`` finds in one sentence, whose roles never leave it; the action is not stemmed yet."""
+    toks = annotate(sentence)
+    number = lambda t: str(M.NUMBERS.get(t["lemma"], t["lemma"]))
+    kids: dict[int, list[dict]] = {}
+    for t in toks:
+        if t["head"] != t["index"]:
+            kids.setdefault(t["head"], []).append(t)
+
+    def phrase(t: dict) -> str | None:
+        if t["pos"] not in ("NOUN", "PROPN", "PRON", "NUM"):
+            return None
+        return " ".join([*sorted(number(c) for c in kids.get(t["index"], ()) if c["dep"] in ("compound", "amod", "nummod")), number(t)])
+
+    def named(head: int, *deps: str) -> list[str]:
+        return sorted(p for c in kids.get(head, ()) if c["dep"] in deps and (p := phrase(c)) is not None)
+
+    rows = {}
+    for t in toks:
+        if t["pos"] != "VERB" or t["lemma"] in NOT_CLAIMS or t["dep"] in ("amod", "acomp"):
+            continue
+        v = t["index"]
+        helpers = [c for c in kids.get(v, ()) if c["dep"] in ("aux", "neg")]
+        rows[v] = {
+            "lemma": t["lemma"], "joined": t["dep"] == "conj", "head": t["head"], "from": min((c["index"] for c in helpers), default=v),
+            **{k: ",".join(named(v, *deps)) or None for k, deps in (("subject", ("nsubj",)), ("passive", ("nsubjpass",)), ("object", ("dobj", "attr")))},
+            "agent": min((p for c in kids.get(v, ()) if c["dep"] == "agent" for p in named(c["index"], "pobj")), default=None),
+            "modal": max((MODALS[c["lemma"]] for c in helpers if c["lemma"] in MODALS), default=None), "negated": any(c["dep"] == "neg" for c in helpers),
+        }
+    out = []
+    for v, r in rows.items():
+        above = rows.get(r["head"]) if r["joined"] else None
+        governing, modal = ((above["agent"] or above["subject"]) if r["passive"] is None else None, above["modal"]) if above else (None, None)
+        ordered = "must" if r["from"] == 0 and r["subject"] is None and r["passive"] is None else "none"
+        out.append({
+            "index": v, "actor": r["agent"] or r["subject"] or governing or "unspecified", "action": SAME_ACTION.get(r["lemma"], r["lemma"]), "target": r["passive"] or r["object"] or "unspecified",
+            "modality": r["modal"] or modal or ordered, "polarity": "negative" if r["negated"] else "positive",
+        })
+    return out
+
+
+def claims_of(sent: DataFrame) -> DataFrame:
+    """``claims`` of the annotated tokens of (doc_id, sentence_index, sentence): annotated once, without a join or shuffle."""
+    rows = sent.select("doc_id", "sentence_index", F.explode(by_text(sentence_claims, CLAIM, F.col("sentence"))).alias("c"))
+    return rows.select(
+        "doc_id", F.col("sentence_index").cast("int").alias("sentence_index"), (F.col("sentence_index").cast("long") * 1_000_000 + F.col("c.index")).alias("index"),
+        "c.actor", stemming.stem(F.col("c.action")).alias("action"), "c.target", "c.modality", "c.polarity", F.lit("asserted").alias("status"),
+    )
+
+
 def order_signatures(toks: DataFrame) -> DataFrame:
     """(doc_id, signature) of what comes before what: marker with its noun against the governing verb's."""
     named = phrases(toks)

@@ -147,7 +147,7 @@ from glossa.streaming import feed  # noqa: E402
 from glossa.operators.annotate import tokens as annotated  # noqa: E402
 
 register("st10_annotated_tokens", lambda s, d: annotated(_sentences(s, d)))
-register("m13_document_claims", lambda s, d: inline.C.claims(annotated(_sentences(s, d))))
+register("m13_document_claims", lambda s, d: inline.C.claims_of(_sentences(s, d)))
 #: The rules over tokens and purposes on whole documents; the inline queries of like names hold them against SQL.
 register("r2_r3_document_sentence_loads", lambda s, d: inline.D.sentence_loads(annotated(_sentences(s, d))))
 register("r6_document_noun_stacks", lambda s, d: inline.D.noun_stacks(annotated(_sentences(s, d))))
