@@ -1,16 +1,18 @@
 """Near copies by exact five-word similarity: banded candidates, a wide SimHash filter, verified sets.
 
 A text is its set of five-word shingles (A-Z in lower case; a shorter text is one shingle). Sets with
-equal members collapse to one. Bands of min-hashes are the keys of candidates: at similarity J two sets
-share one of ``BANDS`` bands of ``ROWS`` with probability 1 - (1 - J^ROWS)^BANDS, 0.99994 at 0.8. Bits of
-one SimHash cannot be the keys at this distance: it is 15 % of the bits, so no long run of them is equal.
-Pairs that differ in more than ``MAX_BITS`` of a 256-bit SimHash (about 39 at 0.8, 128 for unrelated
-texts) are dropped by the pigeonring filter of the SimHash operator, chains of segments within proportional
-budgets before the full count; all others are compared by their whole sets.
-
-Runs of a key up to ``SMALL_RUN`` give all their pairs. Longer ones first give pairs with their least member
-and with neighbours; what these leave apart is then compared across components, so no pair is skipped that
-could still join two of them.
+equal members collapse to one, and each has a 256-bit SimHash. Keys of candidates are bits of the SimHash:
+``TABLES`` tables take ``KEY_BITS`` fixed places of it each, and texts that are equal there meet. A pair that
+differs in d of the 256 bits (about 39 at a similarity of 0.8, 128 for unrelated texts) shares a table with
+probability 1 - (1 - (1 - d / 256)^KEY_BITS)^TABLES, 0.999 at 39 bits. An exact pigeonring join of all pairs
+so far apart would need more keys than there are pairs. Pairs that differ in more than ``MAX_BITS`` are
+dropped by the pigeonring filter of the SimHash operator, chains of segments within proportional budgets
+before the full count; all others are compared by their whole sets.
+
+The first tables link most of a large group; the others, and the pass over long runs, look only at pairs
+whose components are still apart, as no other pair can change a group. Runs of a key up to ``SMALL_RUN`` give
+all such pairs. Longer ones first give pairs with their least member and with neighbours; what these leave
+apart is then compared across components, so no pair is skipped that could still join two of them.
 """
 
 from __future__ import annotations
@@ -22,21 +24,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from glossa.llm.common import lean, materialize, numbered, renamed_back, slices, text_bytes
-from glossa.llm.components import components
+from glossa.llm.components import contracted
 from glossa.llm.simhash import SEED, row_key
 
 N_WORDS = 5
-BANDS, ROWS = 32, 6
+TABLES, FIRST_TABLES, KEY_BITS = 96, 8, 16
 WORDS_OF_64, MAX_BITS, CHAIN = 4, 80, 4
-SMALL_RUN = 48
+SMALL_RUN = 16
 _random = np.random.default_rng(SEED)
-_FLIP = _random.integers(0, 2**64, BANDS * ROWS, np.uint64)
-_TIMES = _random.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
-_OF_BAND = _random.integers(0, 2**64, (BANDS, ROWS), np.uint64) | np.uint64(1)
 _OF_WORD = _random.integers(0, 2**64, WORDS_OF_64, np.uint64) | np.uint64(1)
+#: The bits of each table's key: every 16 tables use each bit once.
+_PLACES = np.concatenate([_random.permutation(64 * WORDS_OF_64) for _ in range(TABLES * KEY_BITS // (64 * WORDS_OF_64))]).reshape(TABLES, KEY_BITS)
 _SKETCH = [f"s{k}" for k in range(WORDS_OF_64)]
 
 
@@ -52,23 +52,28 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[N_WORDS - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, words of the wide SimHash) of a shingle set."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
+def wide_simhash(h: np.ndarray) -> np.ndarray:
+    """The words of the SimHash of a shingle set."""
     ones = np.zeros((WORDS_OF_64, 64), np.int64)
     for at in range(0, len(h), 1024):
         part = h[at : at + 1024]
-        np.minimum(least, ((part[:, None] ^ _FLIP) * _TIMES).min(0), out=least)
         mixed = part[:, None] * _OF_WORD
         mixed = (mixed ^ (mixed >> np.uint64(32))) * _OF_WORD[::-1]
         mixed ^= mixed >> np.uint64(29)
         ones += np.unpackbits(np.ascontiguousarray(mixed).view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64).reshape(ones.shape)
-    keys = (least.reshape(BANDS, ROWS) * _OF_BAND).sum(1, dtype=np.uint64)
-    return keys, np.packbits(2 * ones > len(h), axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def table_keys(words: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Keys of SimHashes (rows of words) in the tables from ``first`` to before ``last``: the table's number above its bits."""
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+    taken = np.packbits(bits[:, _PLACES[first:last].ravel()], axis=1, bitorder="little")
+    own = np.ascontiguousarray(taken).view(np.uint16).astype(np.int64)
+    return own + (np.arange(first, last) << KEY_BITS)
 
 
 def _sketched(rows: DataFrame) -> DataFrame:
-    """(_rank, fp, s0 to s3, keys) from (_rank, text); ``fp`` names the shingle set."""
+    """(_rank, fp, s0 to s3) from (_rank, text); ``fp`` names the shingle set."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,15 +82,28 @@ def _sketched(rows: DataFrame) -> DataFrame:
             if not sets:
                 continue
             fps = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-            made = [sketch(h) for h in sets]
-            keys, words = np.concatenate([k for k, _ in made]).view(np.int64), np.array([w for _, w in made]).view(np.int64)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS_OF_64)], listed], ["_rank", "fp", *_SKETCH, "keys"])
+            words = np.array([wide_simhash(h) for h in sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS_OF_64)]], ["_rank", "fp", *_SKETCH])
 
     schema = rows.select("_rank").schema.add("fp", "long")
     for name in _SKETCH:
         schema = schema.add(name, "long")
-    return rows.mapInArrow(run, schema.add("keys", ArrayType(LongType())))
+    return rows.mapInArrow(run, schema)
+
+
+def _keyed(one: DataFrame, first: int, last: int) -> DataFrame:
+    """(key, fp, s0 to s3, label): a row for each table of each (fp, s0 to s3, label)."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = np.column_stack([c.to_numpy() for c in batch.columns])
+            if len(rows):
+                keys = table_keys(rows[:, 1 : 1 + WORDS_OF_64], first, last)
+                wide = np.repeat(rows, last - first, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.ascontiguousarray(c)) for c in wide.T]], ["key", *batch.schema.names])
+
+    return one.mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in one.columns))
 
 
 def _close(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -104,21 +122,26 @@ def _close(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def _run_pairs(fp: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a run to look at first: all of a small one, else each with the least of them and with its neighbours.
+def _near_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of whole runs (key, fp, s0 to s3, label) to look at first: all of small runs; in long ones each with the least and with its neighbours.
 
-    Which pairs these are depends on the texts alone, so that a group that meets in many bands gives mostly
-    the same pairs in each, and these collapse.
+    Which pairs of a long run these are depends on the texts alone, so that a group that meets in many tables
+    gives mostly the same pairs in each, and these collapse.
     """
-    n = len(words)
-    if n <= SMALL_RUN:
-        yield np.triu_indices(n, 1)
-        return
-    least = int(fp.argmin())
-    yield np.full(n - 1, least), np.delete(np.arange(n), least)
-    for first in (0, WORDS_OF_64 // 2):
-        order = np.lexsort(np.roll(words, first, axis=1).T)
-        yield order[:-1], order[1:]
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(rows[:, 0])) + 1, [len(rows)]))
+    size = np.diff(edge)
+    left = np.repeat(np.where(size <= SMALL_RUN, edge[1:], 0), size) - np.arange(len(rows))  # rows of a small run from here to its end
+    for step in range(1, SMALL_RUN):
+        i = np.flatnonzero(left > step)
+        if not len(i):
+            break
+        yield i, i + step
+    for a, b in zip(edge[:-1][size > SMALL_RUN].tolist(), edge[1:][size > SMALL_RUN].tolist(), strict=True):
+        least = a + int(rows[a:b, 1].argmin())
+        yield np.full(b - a, least), np.arange(a, b)
+        for first in (0, WORDS_OF_64 // 2):
+            order = a + np.lexsort(np.roll(rows[a:b, 2 : 2 + WORDS_OF_64], first, axis=1).T)
+            yield order[:-1], order[1:]
 
 
 def _cross_pairs(words: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -134,27 +157,40 @@ def _cross_pairs(words: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.nda
             yield some[i], there[j]
 
 
-def _pairs(keyed: DataFrame, labelled: bool) -> DataFrame:
-    """Distinct (a, b) with a < b of ``keyed`` (key, fp, s0 to s3 and, if so, label) that the wide SimHash lets pass."""
+def _pairs(keyed: DataFrame, long_runs: bool) -> DataFrame:
+    """Distinct (a, b) with a < b of ``keyed`` (key, fp, s0 to s3, label), of other labels, that the wide SimHash lets pass.
+
+    A row whose a and b are one key says that its run is long and gave only some of its pairs; with
+    ``long_runs`` all pairs are looked at.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def looked(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if not long_runs:
+                yield from _near_pairs(rows)
+                return
+            edge = np.concatenate(([0], np.flatnonzero(np.diff(rows[:, 0])) + 1, [len(rows)])).tolist()
+            for a, b in zip(edge, edge[1:], strict=False):
+                for i, j in _cross_pairs(rows[a:b, 2 : 2 + WORDS_OF_64], rows[a:b, -1]):
+                    yield a + i, a + j
+
         def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            edge = np.flatnonzero(np.diff(rows[:, 0])) + 1
-            a, b, held = [], [], 0
-            for run in np.split(rows, edge):
-                if len(run) < 2:
-                    continue
-                fp, words = run[:, 1], run[:, 2 : 2 + WORDS_OF_64].view(np.uint64)
-                for i, j in _cross_pairs(words, run[:, -1]) if labelled else _run_pairs(fp, words):
-                    near = _close(words, i, j)
-                    i, j = fp[i[near]], fp[j[near]]
-                    a.append(np.minimum(i, j))
-                    b.append(np.maximum(i, j))
-                    held += len(i)
-                    if held > 500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                        a, b, held = [], [], 0
+            keys, counts = np.unique(rows[:, 0], return_counts=True)
+            long = keys[counts > SMALL_RUN] if not long_runs else keys[:0]
+            a, b, held = [long], [long], len(long)
+            fp, words, label = rows[:, 1], np.ascontiguousarray(rows[:, 2 : 2 + WORDS_OF_64]).view(np.uint64), rows[:, -1]
+            for i, j in looked(rows):
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                near = _close(words, i, j)
+                i, j = fp[i[near]], fp[j[near]]
+                a.append(np.minimum(i, j))
+                b.append(np.maximum(i, j))
+                held += len(i)
+                if held > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                    a, b, held = [], [], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
@@ -211,30 +247,39 @@ def keep_first(docs: DataFrame, tenths: int = 8) -> DataFrame:
     rank = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("_row_key").alias("row"))
     made = materialize(_sketched(keyed.select(rank.alias("_rank"), F.col(names["text"]).alias("text"))), "sketches")
     first = materialize(made.groupBy("fp").agg(F.min("_rank").alias("first")), "firsts")
-    one = made.select("fp", *_SKETCH, "keys").dropDuplicates(["fp"])
-    bands = materialize(one.select(F.explode("keys").alias("key"), "fp", *_SKETCH), "bands")
-    shared = materialize(bands.groupBy("key").count().filter("count > 1"), "shared")
-    bands = materialize(bands.join(shared.select("key"), "key", "left_semi"), "bands")
+    one = materialize(made.select("fp", *_SKETCH).dropDuplicates(["fp"]), "ones")
     text = keyed.select("_row_key", F.col(names["text"]).alias("text"))
 
     def sets_of(fps: DataFrame) -> DataFrame:
-        """Sets of the wanted texts alone: which rows they are is known before any text moves, and it moves once."""
+        """Sets of the wanted texts alone: which rows they are is known before any text moves."""
         wanted = first.join(fps, "fp", "left_semi").select("fp", F.col("first.row").alias("_row_key"))
-        return materialize(_sets(text.join(wanted, "_row_key").dropDuplicates(["fp"]).select("fp", "text")), "sets")
-
-    pairs = materialize(_pairs(bands, False), "pairs")
-    sets = sets_of(_ends(pairs))
-    links = materialize(_similar(pairs, sets, tenths), "links")
-    labels = components(links)
-    large = shared.filter(F.col("count") > SMALL_RUN).select("key")
-    if large.limit(1).count():
-        inside = bands.join(large, "key", "left_semi").join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-        inside = inside.select("key", "fp", *_SKETCH, F.coalesce("label", "fp").alias("label"))
-        pairs = materialize(_pairs(inside, True), "pairs")
-        new = materialize(_ends(pairs).join(sets.select("fp"), "fp", "left_anti"), "ends")
+        return materialize(_sets(text.join(wanted.hint("merge"), "_row_key").dropDuplicates(["fp"]).select("fp", "text")), "sets")
+
+    sets = links = labels = long = None
+    for tables in ((0, FIRST_TABLES), (FIRST_TABLES, TABLES), None):
+        marked = one.withColumn("label", F.col("fp"))
+        if labels is not None:
+            marked = one.join(labels.toDF("fp", "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        if tables:
+            found = materialize(_pairs(_keyed(marked, *tables), False), "pairs")
+            marks = found.filter("a = b").select(F.col("a").alias("key"))
+            long = marks if long is None else long.union(marks)
+        elif long.limit(1).count():
+            found = materialize(_pairs(_keyed(marked, 0, TABLES).join(long, "key", "left_semi"), True), "pairs")
+        else:
+            break
+        pairs = found.filter("a < b")
+        ends = _ends(pairs)
+        new = materialize(ends if sets is None else ends.join(sets.select("fp"), "fp", "left_anti"), "ends")
         if new.limit(1).count():
-            sets = sets.union(sets_of(new))
-        labels = components(links.union(materialize(_similar(pairs, sets, tenths), "links")))
+            made_now = sets_of(new)
+            sets = made_now if sets is None else sets.union(made_now)
+        if sets is not None:
+            similar = materialize(_similar(pairs, sets, tenths), "links")
+            links = similar if links is None else links.union(similar)
+            labels = contracted(links)
+    if labels is None:
+        labels = one.select(F.col("fp").alias("node"), F.col("fp").alias("label")).limit(0)
     grouped = first.join(labels.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("label", "fp").alias("label"))
     keep = materialize(grouped.agg(F.min("first").alias("least")).select(F.col("least.row").alias("_row_key")), "kept")
-    return renamed_back(keyed.join(keep, "_row_key", "left_semi").dropDuplicates(["_row_key"]), names)
+    return renamed_back(keyed.join(keep.hint("merge"), "_row_key", "left_semi").dropDuplicates(["_row_key"]), names)

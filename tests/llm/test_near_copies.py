@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from glossa.llm import near_copies
+from glossa.llm.components import components, contracted
 
 
 def _shingles(text):
@@ -39,3 +43,24 @@ def test_stage_removes_copies_of_five_word_similarity(spark):
     want = [k for k in range(len(texts)) if root(k) == k]
     got = corpus_pipeline.simhash_near_dedup_stage(spark, docs, "")
     assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_contracted_components_are_the_others(spark):
+    rng = random.Random(9)
+    edges = [(k, k + 1) for k in range(60)] + [(100 + k, 100 + rng.randrange(40)) for k in range(40)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(7, 7)]
+    edges += [(a, b) for a in range(500, 530) for b in range(a + 1, 530)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    assert sorted(map(tuple, contracted(table).collect())) == sorted(map(tuple, components(table).collect()))
+    assert contracted(table.limit(0)).count() == 0
+
+
+def test_candidates_come_from_bits_of_the_simhash():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, (400, near_copies.WORDS_OF_64), np.uint64)
+    bits = np.unpackbits(base.view(np.uint8), axis=1)
+    for row in bits:
+        row[rng.choice(256, 39, replace=False)] ^= 1
+    keys = near_copies.table_keys(base, 0, near_copies.TABLES), near_copies.table_keys(np.packbits(bits, axis=1).view(np.uint64), 0, near_copies.TABLES)
+    assert len(np.unique(keys[0] >> near_copies.KEY_BITS)) == near_copies.TABLES
+    assert (keys[0] == keys[1]).any(1).mean() >= 0.99
+    assert (near_copies.table_keys(base, 40, 48) == keys[0][:, 40:48]).all()
