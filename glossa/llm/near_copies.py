@@ -9,6 +9,12 @@ so far apart would need more keys than there are pairs. Pairs that differ in mor
 dropped by the pigeonring filter of the SimHash operator, chains of segments within proportional budgets
 before the full count; all others are compared by their whole sets.
 
+In a large group most texts may be near in SimHash and yet apart in similarity, so that pairs grow with the square
+of the group. Two bounds that lose no link keep these from the comparison: the sizes of the sets, and for
+texts that met ``CROWD`` others, a bitmap with the parity of the shingles of each place. Two bitmaps differ in
+no more places than the sets have shingles apart, and a similarity allows a share of these alone. A pair that
+was compared once is not compared again.
+
 The first tables link most of a large group; the others, and the pass over long runs, look only at pairs
 whose components are still apart, as no other pair can change a group. Runs of a key up to ``SMALL_RUN`` give
 all such pairs. Longer ones first give pairs with their least member and with neighbours; what these leave
@@ -21,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +40,7 @@ N_WORDS = 5
 TABLES, FIRST_TABLES, KEY_BITS = 96, 8, 16
 WORDS_OF_64, MAX_BITS, CHAIN = 4, 80, 4
 SMALL_RUN = 16
+CROWD = 4
 _random = np.random.default_rng(SEED)
 _OF_WORD = _random.integers(0, 2**64, WORDS_OF_64, np.uint64) | np.uint64(1)
 #: The bits of each table's key: every 16 tables use each bit once.
@@ -72,8 +80,17 @@ def table_keys(words: np.ndarray, first: int, last: int) -> np.ndarray:
     return own + (np.arange(first, last) << KEY_BITS)
 
 
+def parity_bitmap(h: np.ndarray) -> bytes:
+    """For each place, whether an odd number of shingles have their lowest bits there; places are a power of two, at least 4 a shingle.
+
+    A bitmap of half the places is the exclusive or of the halves. Up to 16,384 places, as longer texts are few.
+    """
+    places = 1 << min(14, max(8, (4 * len(h) - 1).bit_length()))
+    return np.packbits(np.bincount((h & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1, bitorder="little").tobytes()
+
+
 def _sketched(rows: DataFrame) -> DataFrame:
-    """(_rank, fp, s0 to s3) from (_rank, text); ``fp`` names the shingle set."""
+    """(_rank, fp, s0 to s3, n) from (_rank, text); ``fp`` names the shingle set, ``n`` is its size."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,27 +100,45 @@ def _sketched(rows: DataFrame) -> DataFrame:
                 continue
             fps = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
             words = np.array([wide_simhash(h) for h in sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS_OF_64)]], ["_rank", "fp", *_SKETCH])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS_OF_64)], pa.array([len(h) for h in sets], pa.int64())], ["_rank", "fp", *_SKETCH, "n"])
 
     schema = rows.select("_rank").schema.add("fp", "long")
-    for name in _SKETCH:
+    for name in (*_SKETCH, "n"):
         schema = schema.add(name, "long")
     return rows.mapInArrow(run, schema)
 
 
-def _keyed(one: DataFrame, first: int, last: int) -> DataFrame:
-    """(key, fp, s0 to s3, label): a row for each table of each (fp, s0 to s3, label)."""
+def _key_bits(keys: DataFrame) -> bytes:
+    """A bit for each key of all tables, set if it is in ``keys``: 768 KB, whatever the input."""
+
+    def of_table(group: pa.Table) -> pa.Table:
+        own = np.zeros(1 << KEY_BITS, np.uint8)
+        keys = group.column(0).to_numpy()
+        own[keys & ((1 << KEY_BITS) - 1)] = 1
+        return pa.table({"place": pa.array([int(keys[0]) >> KEY_BITS]), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()])})
+
+    out = bytearray(TABLES << KEY_BITS >> 3)
+    width = 1 << KEY_BITS >> 3
+    for row in keys.select("key").distinct().groupBy(F.shiftright("key", KEY_BITS)).applyInArrow(of_table, "place long, bits binary").collect():
+        out[row.place * width : (row.place + 1) * width] = row.bits
+    return bytes(out)
+
+
+def _keyed(one: DataFrame, first: int, last: int, only: bytes | None = None) -> DataFrame:
+    """(key, fp, s0 to s3, n, label, bits): a row for each table of each (fp, s0 to s3, n, label, bits), of the keys that ``only`` has."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = None if only is None else np.unpackbits(np.frombuffer(only, np.uint8), bitorder="little").view(bool)
         for batch in slices(batches):
-            rows = np.column_stack([c.to_numpy() for c in batch.columns])
-            if len(rows):
-                keys = table_keys(rows[:, 1 : 1 + WORDS_OF_64], first, last)
-                wide = np.repeat(rows, last - first, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.ascontiguousarray(c)) for c in wide.T]], ["key", *batch.schema.names])
+            if batch.num_rows:
+                words = np.column_stack([c.to_numpy() for c in batch.columns[1 : 1 + WORDS_OF_64]])
+                keys = table_keys(words, first, last)
+                at, place = np.nonzero(np.ones(keys.shape, bool) if there is None else there[keys])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at, place]), *batch.take(pa.array(at)).columns], ["key", *batch.schema.names])
 
-    return one.mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in one.columns))
+    schema = one.select(F.lit(0).cast("long").alias("key"), *one.columns).schema
+    return one.mapInArrow(run, schema)
 
 
 def _close(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -122,8 +157,28 @@ def _close(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def _within(bits: np.ndarray, wide: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, tenths: int) -> np.ndarray:
+    """Pairs that may have a similarity of ``tenths`` / 10 by their bitmaps (``wide``: bytes of each, 0: none).
+
+    Sets of such a similarity have at most (10 - tenths) / (10 + tenths) of their sizes' sum apart.
+    """
+    out = np.ones(len(i), bool)
+    least = np.minimum(wide[i], wide[j])
+    for w in np.unique(least[least > 0]).tolist():
+        at = np.flatnonzero(least == w)
+        used, where = np.unique(np.concatenate((i[at], j[at])), return_inverse=True)
+        folded = np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, w // 8)) for x in bits[used]])
+        x, y = where[: len(at)], where[len(at) :]
+        step = (8 << 20) // w
+        for k in range(0, len(at), step):
+            some = at[k : k + step]
+            apart = np.bitwise_count(folded[x[k : k + step]] ^ folded[y[k : k + step]]).sum(1, dtype=np.int64)
+            out[some] = (10 + tenths) * apart <= (10 - tenths) * (size[i[some]] + size[j[some]])
+    return out
+
+
 def _near_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of whole runs (key, fp, s0 to s3, label) to look at first: all of small runs; in long ones each with the least and with its neighbours.
+    """Pairs of whole runs (key, fp, s0 to s3, ...) to look at first: all of small runs; in long ones each with the least and with its neighbours.
 
     Which pairs of a long run these are depends on the texts alone, so that a group that meets in many tables
     gives mostly the same pairs in each, and these collapse.
@@ -157,8 +212,8 @@ def _cross_pairs(words: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.nda
             yield some[i], there[j]
 
 
-def _pairs(keyed: DataFrame, long_runs: bool) -> DataFrame:
-    """Distinct (a, b) with a < b of ``keyed`` (key, fp, s0 to s3, label), of other labels, that the wide SimHash lets pass.
+def _pairs(keyed: DataFrame, long_runs: bool, tenths: int) -> DataFrame:
+    """Distinct (a, b) with a < b of ``keyed`` (key, fp, s0 to s3, n, label, bits), of other labels, that the wide SimHash and the bounds let pass.
 
     A row whose a and b are one key says that its run is long and gave only some of its pairs; with
     ``long_runs`` all pairs are looked at.
@@ -172,18 +227,21 @@ def _pairs(keyed: DataFrame, long_runs: bool) -> DataFrame:
                 return
             edge = np.concatenate(([0], np.flatnonzero(np.diff(rows[:, 0])) + 1, [len(rows)])).tolist()
             for a, b in zip(edge, edge[1:], strict=False):
-                for i, j in _cross_pairs(rows[a:b, 2 : 2 + WORDS_OF_64], rows[a:b, -1]):
+                for i, j in _cross_pairs(rows[a:b, 2 : 2 + WORDS_OF_64], rows[a:b, 3 + WORDS_OF_64]):
                     yield a + i, a + j
 
-        def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(rows: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
             keys, counts = np.unique(rows[:, 0], return_counts=True)
             long = keys[counts > SMALL_RUN] if not long_runs else keys[:0]
             a, b, held = [long], [long], len(long)
-            fp, words, label = rows[:, 1], np.ascontiguousarray(rows[:, 2 : 2 + WORDS_OF_64]).view(np.uint64), rows[:, -1]
+            fp, words, label = rows[:, 1], np.ascontiguousarray(rows[:, 2 : 2 + WORDS_OF_64]).view(np.uint64), rows[:, 3 + WORDS_OF_64]
+            size, wide = np.ascontiguousarray(rows[:, 2 + WORDS_OF_64]), np.ascontiguousarray(rows[:, -1])
             for i, j in looked(rows):
-                apart = label[i] != label[j]
+                apart = (label[i] != label[j]) & (10 * np.minimum(size[i], size[j]) >= tenths * np.maximum(size[i], size[j]))
                 i, j = i[apart], j[apart]
                 near = _close(words, i, j)
+                i, j = i[near], j[near]
+                near = _within(bits, wide, size, i, j, tenths)
                 i, j = fp[i[near]], fp[j[near]]
                 a.append(np.minimum(i, j))
                 b.append(np.maximum(i, j))
@@ -194,18 +252,23 @@ def _pairs(keyed: DataFrame, long_runs: bool) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-        held: list[np.ndarray] = []  # the run that the last batch ended in
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the run that the last batch ended in
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.column_stack([c.to_numpy() for c in batch.columns])
+            *columns, last = batch.columns
+            wide = pc.fill_null(pc.binary_length(last), 0).to_numpy(zero_copy_only=False)
+            rows = np.column_stack([c.to_numpy() for c in columns] + [wide.astype(np.int64)])
+            bits = np.full(len(rows), None, object)
+            if wide.any():
+                bits[:] = last.to_pylist()
             cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            if cut or (held and rows[0, 0] != held[0][0, 0]):
-                yield from out(np.concatenate([*held, rows[:cut]]))
+            if cut or (held and rows[0, 0] != held[0][0][0, 0]):
+                yield from out(*map(np.concatenate, zip(*held, (rows[:cut], bits[:cut]), strict=True)))
                 held = []
-            held.append(rows[cut:])
+            held.append((rows[cut:], bits[cut:]))
         if held:
-            yield from out(np.concatenate(held))
+            yield from out(*map(np.concatenate, zip(*held, strict=True)))
 
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
@@ -224,6 +287,18 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "fp long, members array<long>")
 
 
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(fp, bits) from (fp, members)."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            bits = [parity_bitmap(np.array(h, np.int64).view(np.uint64)) for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["fp", "bits"])
+
+    return sets.mapInArrow(run, "fp long, bits binary")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     """The pairs whose sets have a similarity of at least ``tenths`` / 10."""
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
@@ -231,8 +306,10 @@ def _similar(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     return both.filter(10 * shared >= tenths * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+def _ends(pairs: DataFrame, least: int = 1) -> DataFrame:
+    """Those that are in ``least`` pairs or more."""
+    each = pairs.select(F.col("a").alias("fp")).union(pairs.select("b"))
+    return each.groupBy("fp").agg(F.count("*").alias("met")).filter(F.col("met") >= least).select("fp")
 
 
 def keep_first(docs: DataFrame, tenths: int = 8) -> DataFrame:
@@ -247,7 +324,7 @@ def keep_first(docs: DataFrame, tenths: int = 8) -> DataFrame:
     rank = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("_row_key").alias("row"))
     made = materialize(_sketched(keyed.select(rank.alias("_rank"), F.col(names["text"]).alias("text"))), "sketches")
     first = materialize(made.groupBy("fp").agg(F.min("_rank").alias("first")), "firsts")
-    one = materialize(made.select("fp", *_SKETCH).dropDuplicates(["fp"]), "ones")
+    one = materialize(made.select("fp", *_SKETCH, "n").dropDuplicates(["fp"]), "ones")
     text = keyed.select("_row_key", F.col(names["text"]).alias("text"))
 
     def sets_of(fps: DataFrame) -> DataFrame:
@@ -255,20 +332,24 @@ def keep_first(docs: DataFrame, tenths: int = 8) -> DataFrame:
         wanted = first.join(fps, "fp", "left_semi").select("fp", F.col("first.row").alias("_row_key"))
         return materialize(_sets(text.join(wanted.hint("merge"), "_row_key").dropDuplicates(["fp"]).select("fp", "text")), "sets")
 
-    sets = links = labels = long = None
+    sets = links = labels = long = compared = None
     for tables in ((0, FIRST_TABLES), (FIRST_TABLES, TABLES), None):
-        marked = one.withColumn("label", F.col("fp"))
+        marked = one.withColumn("label", F.col("fp")).withColumn("bits", F.lit(None).cast("binary"))
         if labels is not None:
-            marked = one.join(labels.toDF("fp", "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+            bits = materialize(_bitmaps(sets.join(_ends(compared, CROWD), "fp", "left_semi")), "bitmaps")
+            marked = one.join(labels.toDF("fp", "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp")).join(bits, "fp", "left")
         if tables:
-            found = materialize(_pairs(_keyed(marked, *tables), False), "pairs")
+            found = materialize(_pairs(_keyed(marked, *tables), False, tenths), "pairs")
             marks = found.filter("a = b").select(F.col("a").alias("key"))
             long = marks if long is None else long.union(marks)
         elif long.limit(1).count():
-            found = materialize(_pairs(_keyed(marked, 0, TABLES).join(long, "key", "left_semi"), True), "pairs")
+            found = materialize(_pairs(_keyed(marked, 0, TABLES, _key_bits(long)), True, tenths), "pairs")
         else:
             break
         pairs = found.filter("a < b")
+        if compared is not None:
+            pairs = materialize(pairs.join(compared, ["a", "b"], "left_anti"), "pairs-new")
+        compared = pairs if compared is None else compared.union(pairs)
         ends = _ends(pairs)
         new = materialize(ends if sets is None else ends.join(sets.select("fp"), "fp", "left_anti"), "ends")
         if new.limit(1).count():

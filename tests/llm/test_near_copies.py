@@ -6,6 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from glossa.llm import near_copies
+from glossa.llm.common import materialize
 from glossa.llm.components import components, contracted
 
 
@@ -64,3 +65,60 @@ def test_candidates_come_from_bits_of_the_simhash():
     assert len(np.unique(keys[0] >> near_copies.KEY_BITS)) == near_copies.TABLES
     assert (keys[0] == keys[1]).any(1).mean() >= 0.99
     assert (near_copies.table_keys(base, 40, 48) == keys[0][:, 40:48]).all()
+
+
+def test_pairs_to_compare_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    base, texts = [word() for _ in range(150)], []
+    for k in range(700):  # near in SimHash to all others, similar by 0.8 to few
+        changed = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            changed[rng.randrange(len(changed))] = word()
+        texts.append(" ".join(changed))
+    sets = [_shingles(t) for t in texts]
+    apart, compared = list(range(len(texts))), []
+
+    def root(k):
+        while apart[k] != k:
+            k = apart[k]
+        return k
+
+    for b in range(len(texts)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if 10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                apart[y] = x
+    similar = near_copies._similar
+
+    def counted(pairs, *rest):
+        pairs = materialize(pairs, "counted")
+        compared.extend((r.a, r.b) for r in pairs.collect())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_similar", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_copies.keep_first(docs)
+    assert sorted(r.doc_id for r in got.collect()) == [k for k in range(len(texts)) if root(k) == k]
+    assert len(compared) == len(set(compared)) <= 30 * len(texts)
+
+
+def test_bounds_of_bitmaps_lose_no_link():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2**64, int(rng.integers(1, 1500)), np.uint64)
+        sets += [base, *(np.concatenate((base[: max(1, int(len(base) * rng.uniform(0.6, 1)))], rng.integers(0, 2**64, int(len(base) * rng.uniform(0, 0.3)), np.uint64))) for _ in range(4))]
+    bits = np.full(len(sets), None, object)
+    bits[:] = [near_copies.parity_bitmap(x) for x in sets]
+    bits[::17] = None
+    wide = np.array([len(x or b"") for x in bits])
+    i, j = np.triu_indices(len(sets), 1)
+    size = np.array([len(x) for x in sets])
+    may = near_copies._within(bits, wide, size, i, j, 8)
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    links = 10 * both >= 8 * (size[i] + size[j] - both)
+    known = (wide[i] > 0) & (wide[j] > 0)
+    assert may[links].all() and may[~known].all() and (links & known & (wide[i] != wide[j])).any()
+    assert may[known & ~links].mean() < 0.05
