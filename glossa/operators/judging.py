@@ -34,12 +34,11 @@ def excerpt(text: Column, start: Column, end: Column) -> Column:
 def measured(docs: DataFrame, profile: Profile, key: str = "doc_id") -> DataFrame:
     """(key, value, band, words, high, findings): score, readable words and rules of high severity of each text."""
     rows = A.analyze(docs.withColumnRenamed(key, "doc_id"), profile, ["doc_id"])
-    words = F.aggregate("sentences", F.lit(0), lambda n, s: n + s["n_words"])
     high = F.array_sort(F.array_distinct(F.transform(F.filter("findings", lambda f: f["severity"] == "high"), lambda f: f["rule_id"])))
     of = lambda d: F.filter("findings", lambda f: f["dimension"] == d)
     points = {d: F.round(F.aggregate(of(d), F.lit(0.0), lambda n, f: n + f["penalty"]), 2) for d in profile.weights}
     value = sum((F.round(S.raw_score(points[d]) * w / 100, 2) for d, w in profile.weights.items()), F.lit(0.0))
-    out = rows.select(F.col("doc_id").alias(key), F.round(value, 2).alias("value"), words.alias("words"), high.alias("high"), "findings")
+    out = rows.select(F.col("doc_id").alias(key), F.round(value, 2).alias("value"), F.col("n_words").alias("words"), high.alias("high"), "findings")
     return out.withColumn("band", S.band(F.col("value"), profile))
 
 
